@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -50,11 +51,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage with a written table in the shared folder.
 
     Parquet rather than ``checkpoint()``: columnar and compressed, so smaller on disk and prunable when read back.
-    The files outlive any executor.
+    The files outlive any executor. Once the table is written, the shuffle files behind it serve nothing, so Spark is
+    told to remove them with the write.
     """
     spark = df.sparkSession
     path = table_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP_KEY, None)
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_KEY, before) if before is not None else spark.conf.unset(CLEANUP_KEY)
     return spark.read.schema(df.schema).parquet(path)
 
 
