@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +70,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete one materialised table."""
     _remove(spark, path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever the driver imported it from. Once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_litquarry_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="litquarry-code-")) / "litquarry.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._litquarry_shipped = True
