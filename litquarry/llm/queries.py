@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litquarry.llm import components, fusion
+from litquarry.llm import components, fusion, minhash
 from litquarry.session import load
 
 WS = r"[\x1c-\x1f\p{IsWhite_Space}]+"
@@ -66,5 +66,25 @@ def p4_fused(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d, "votes")
 
 
+def _near_papers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    papers = load(spark, d, "papers", "paper_id", "title", "abstract")
+    texts = papers.select(F.col("paper_id").alias("id"), F.concat_ws(" ", "title", "abstract").alias("text"))
+    return minhash.near_duplicate_classes(texts, threshold=0.8, n=1, min_size=30)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of records whose word sets are alike enough."""
+    members, pairs = _near_papers(spark, d)
+    return minhash.expand(members, pairs).select(F.col("a").alias("paper_id_a"), F.col("b").alias("paper_id_b"))
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record with its class of identical word sets and the number of other classes it is near to."""
+    members, pairs = _near_papers(spark, d)
+    ends = pairs.select(F.col("a").alias("class_id")).unionAll(pairs.select(F.col("b").alias("class_id")))
+    links = ends.groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return members.join(links, "class_id", "left").select(F.col("id").alias("paper_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p4_found, p4_fused)}
+    return {f.__name__: f for f in (p3_found, p4_found, p4_fused, p5_found, p5_classes)}
