@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litquarry.llm import components, fusion, minhash
+from litquarry.llm import cells, components, fusion, minhash
 from litquarry.session import load
 
 WS = r"[\x1c-\x1f\p{IsWhite_Space}]+"
@@ -86,5 +86,18 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return members.join(links, "class_id", "left").select(F.col("id").alias("paper_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """What each incoming record repeats, among papers and the batches before its own."""
+
+    def rows(table: str, key: str, seq) -> DataFrame:
+        df = load(spark, d, table)
+        return df.select(F.col(key).alias("id"), seq.cast("int").alias("seq"), F.col("title").alias("text"),
+                         cells.doi_key(F.col("doi")).alias("doi"), cells.pmid_key(F.col("pmid")).alias("pmid"))
+
+    index = cells.CellIndex.create(rows("papers", "paper_id", F.lit(0)), threshold=0.8, min_words=6)
+    index.append(rows("incoming", "incoming_id", F.col("batch_no")))
+    return index.probe(1, 2**31 - 1).select("known_id", F.col("new_id").alias("incoming_id"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p4_found, p4_fused, p5_found, p5_classes)}
+    return {f.__name__: f for f in (p3_found, p4_found, p4_fused, p5_found, p5_classes, p6_found)}
