@@ -1,18 +1,20 @@
 """Deduplicating new batches against all history: a persisted inverted file of vector cells.
 
 A text is the 0/1 vector of its distinct words; the distance of two texts is one minus their Jaccard similarity, and a
-match is a vector within ``1 - threshold``. The cells of the file are centred on the axes of the word space. A vector
-is filed, rarest axis first, under as many of its axes as a match may miss plus one; so after a query has probed its
-own first ``k`` axes, every vector not seen yet shares at most ``n - k`` of its words and lies at a distance of at least
-``1 - (n - k) / n``. Probing stops when that bound passes the radius (``k = n - ceil(t n) + 1`` cells), and then no
-nearer match is possible: the search is exact, not approximate. What the cells yield is reranked on the full vectors.
+match is a vector within ``1 - threshold``. The cells of the file are centred on the axes of the word space: cell
+(w, m, j) holds the vectors of norm ``m`` whose ``j``-th rarest axis is ``w``. For a query of norm ``n`` and a vector of
+norm ``m`` to lie within the radius they must share ``o(n, m) = ceil(t (n + m) / (1 + t))`` axes; if their first common
+axis has rank ``i`` in the query and ``j`` in the vector, at most ``min(n - i, m - j)`` are shared. That is the distance
+bound of a cell: the query probes its axes from the rarest on, for each norm ``m`` only ranks ``i <= n - o`` and cells
+``j <= m - o``, and stops where no cell can hold a nearer vector. The search is exact, not approximate; what the probed
+cells yield is reranked on the full vectors. Frequent words have high ranks and are hardly ever probed.
 (k-means cells were rejected: between sparse titles, distances to a centroid all lie between 0.8 and 1, so with a
 radius of 0.2 the triangle bound excludes no cell and every probe would read the whole history.)
 
 On disk an index is a folder of parquet tables, each only ever appended to:
 
 * ``vectors``  name (128 bits), n, words - one row per distinct vector and batch
-* ``cells``    cell, name, n - in ``BUCKETS`` partitions by cell, sorted by cell
+* ``cells``    cell (w, m and j hashed to 64 bits), name - in ``BUCKETS`` partitions by cell, sorted by cell
 * ``members``  name, id, seq - which records have the vector, and with which batch they came
 * ``keys``     kind, value, id, seq - exact identifiers
 * ``order``    the ``COMMON`` most frequent words of the first history with their frequency; fixed for the life of the
@@ -34,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litquarry.llm.words import WordHashes, distinct_words, set_sums
+from litquarry.llm.words import WordHashes, distinct_words, mix, set_sums
 from litquarry.session import materialise, table_path
 
 COMMON = 65_536
@@ -63,28 +65,68 @@ def _vectorise(min_words: int):
     return read
 
 
-def _file_under(threshold: float, words: np.ndarray, frequency: np.ndarray):
-    """Cells of each vector: its first axes in the fixed order (frequency in the first history, then hash)."""
+def overlap_needed(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Common words two sets of n and m words need to reach the threshold."""
+    return np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9).astype("int64")
+
+
+def _cell(word: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return mix(word.view("uint64") ^ mix((m * 4_096 + j).astype("uint64"), 0x1B873593), 0x52DCE729).view("int64")
+
+
+def _ranked(batch: pd.DataFrame, words: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n by vector; vector, word and rank by element), elements in the fixed order: first-history frequency, then hash."""
+    n = batch["n"].to_numpy("int64")
+    flat = np.concatenate(batch["words"].to_list()).astype("int64")
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
+    df = np.where(words[at] == flat, frequency[at], 0) if len(words) else np.zeros(len(flat), "int64")
+    by = np.lexsort((flat, df, row))
+    return n, row, flat[by], np.arange(len(flat)) - np.repeat(np.r_[0, n.cumsum()[:-1]], n)
+
+
+def _file_cells(threshold: float, words: np.ndarray, frequency: np.ndarray):
+    """The cells a vector is filed in: those some query could have to probe, ``j <= m - ceil(t m)``."""
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n = batch["n"].to_numpy("int64")
-            if not len(n):
+            if not len(batch):
                 continue
-            flat = np.concatenate(batch["words"].to_list()).astype("int64")
-            row = np.repeat(np.arange(len(n)), n)
-            at = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
-            df = np.where(words[at] == flat, frequency[at], 0) if len(words) else np.zeros(len(flat), "int64")
-            by = np.lexsort((flat, df, row))
-            rank = np.arange(len(flat)) - np.repeat(np.r_[0, n.cumsum()[:-1]], n)
-            first = rank < np.repeat(n - np.ceil(threshold * n - 1e-9).astype("int64") + 1, n)
-            own = row[by][first]
-            yield pd.DataFrame({"cell": flat[by][first], "k1": batch["k1"].to_numpy()[own], "k2": batch["k2"].to_numpy()[own],
-                                "n": n[own].astype("int32")})
+            n, row, word, rank = _ranked(batch, words, frequency)
+            own = rank <= n[row] - np.ceil(threshold * n[row] - 1e-9)
+            row, word, rank = row[own], word[own], rank[own]
+            yield pd.DataFrame({"cell": _cell(word, n[row], rank), "k1": batch["k1"].to_numpy()[row], "k2": batch["k2"].to_numpy()[row]})
 
     return file
 
 
+def _probe_cells(threshold: float, words: np.ndarray, frequency: np.ndarray):
+    """The cells a query has to probe: all (i, m, j) whose distance bound is within the radius."""
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            n, row, word, rank = _ranked(batch, words, frequency)
+            near = rank <= n[row] - np.ceil(threshold * n[row] - 1e-9)
+            row, word, rank = row[near], word[near], rank[near]
+            own = n[row]
+            least = np.ceil(threshold * own - 1e-9).astype("int64")
+            spread = np.floor(own / threshold + 1e-9).astype("int64") - least + 1
+            pick = np.repeat(np.arange(len(row)), spread)
+            m = least[pick] + np.arange(len(pick)) - np.repeat(np.r_[0, spread.cumsum()[:-1]], spread)
+            o = overlap_needed(own[pick], m, threshold)
+            fits = (rank[pick] <= own[pick] - o) & (o <= m)
+            pick, m, o = pick[fits], m[fits], o[fits]
+            js = m - o + 1
+            again = np.repeat(np.arange(len(pick)), js)
+            j = np.arange(len(again)) - np.repeat(np.r_[0, js.cumsum()[:-1]], js)
+            src = row[pick[again]]
+            yield pd.DataFrame({"cell": _cell(word[pick[again]], m[again], j), "q1": batch["k1"].to_numpy()[src], "q2": batch["k2"].to_numpy()[src]})
+
+    return probe
+
+
 class CellIndex:
     """An index in a shared folder. ``create`` it from a first history, ``append`` accepted batches, ``probe`` new ones."""
 
@@ -114,7 +156,10 @@ class CellIndex:
         return self._order
 
     def _cells(self, vectors: DataFrame) -> DataFrame:
-        return vectors.select(*NAME, "n", "words").mapInPandas(_file_under(self.threshold, *self.order()), "cell long, k1 long, k2 long, n int")
+        return vectors.select(*NAME, "n", "words").mapInPandas(_file_cells(self.threshold, *self.order()), "cell long, k1 long, k2 long")
+
+    def _probes(self, vectors: DataFrame) -> DataFrame:
+        return vectors.select(*NAME, "n", "words").mapInPandas(_probe_cells(self.threshold, *self.order()), "cell long, q1 long, q2 long")
 
     def append(self, rows: DataFrame, first: bool = False) -> None:
         """Add a batch: id, seq, text, and identifier columns already in comparable form (null where there is none)."""
@@ -141,10 +186,8 @@ class CellIndex:
     def near_vectors(self, names: DataFrame) -> DataFrame:
         """(q1, q2, k1, k2): for each named vector, all vectors of the index within the radius, itself included."""
         mine = self._table("vectors").join(names, NAME, "left_semi").dropDuplicates(NAME)
-        probes = self._cells(mine).select("cell", F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("n").alias("m"))
-        cells = self._table("cells").select("cell", *NAME, "n")
-        fits = F.least("n", "m") >= F.lit(self.threshold) * F.greatest("n", "m") - 1e-9
-        seen = materialise(probes.join(cells, "cell").filter(fits).select("q1", "q2", *NAME).distinct(), "probed")
+        cells = self._table("cells").select("cell", *NAME)
+        seen = materialise(self._probes(mine).join(cells, "cell").drop("cell").distinct(), "probed")
         vectors = self._table("vectors").dropDuplicates(NAME).select(*NAME, "words")
         queries = vectors.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("words").alias("own"))
         ranked = seen.join(queries, ["q1", "q2"]).join(vectors, NAME)
