@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litquarry.llm import cells, components, fusion, minhash
-from litquarry.session import load
+from litquarry.llm import cells, components, fusion, lookalikes, minhash
+from litquarry.session import load, materialise
 
 WS = r"[\x1c-\x1f\p{IsWhite_Space}]+"
 #: Publication types that only say that none is given.
@@ -50,8 +50,6 @@ def _paper_claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, d: str, prior: str) -> DataFrame:
-    from litquarry.session import materialise
-
     claims = materialise(_paper_claims(spark, d), "paper-claims")
     return fusion.fuse(claims, ["size", "trust", "fetched_at", "smallest"], prior=prior).withColumnRenamed("record_id", "paper_id")
 
@@ -99,5 +97,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return index.probe(1, 2**31 - 1).select("known_id", F.col("new_id").alias("incoming_id"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that look the same and are stored differently."""
+    members = materialise(lookalikes.stored_forms(load(spark, d, "documents", "doc_id", "text"), "doc_id", "text"), "forms")
+    return lookalikes.same_look_pairs(members).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p10_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent form of every document that has one differing from its text, with what was found in it."""
+    docs = load(spark, d, "documents", "doc_id", "text").filter("text IS NOT NULL")
+    formed = docs.select("doc_id", "text", lookalikes.consistent(F.col("text")).alias("c"))
+    return formed.filter("c.form <> text").select("doc_id", "c.form", "c.mixed_tokens", "c.whole_tokens")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p4_found, p4_fused, p5_found, p5_classes, p6_found)}
+    return {f.__name__: f for f in (p3_found, p4_found, p4_fused, p5_found, p5_classes, p6_found, p10_found, p10_forms)}
