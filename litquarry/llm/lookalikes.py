@@ -18,9 +18,9 @@ kept in number; texts are used whole.
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import regex
@@ -44,8 +44,13 @@ SHAPE_OF = {c: shape for shape, spelled in SHAPES.items() for c in spelled.value
 #: decompositions that change only the kind, width or joining of letters
 FOLDED_TAGS = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
 _IGNORABLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}]|(?![\t\n\r\f\v\x85])\p{Cc}")
-_OTHER_SCRIPT = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
+_BLOCKS = {"Cyrillic": "\u0400-\u052f\u1c80-\u1c8f\u2de0-\u2dff\ua640-\ua69f", "Greek": "\u0370-\u03ff\u1f00-\u1fff", "Latin": "A-Za-z"}
+_OTHER_SCRIPT = re.compile(f"[{_BLOCKS['Cyrillic']}{_BLOCKS['Greek']}]")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_FIRM = {s: re.compile("[" + "".join(c for c in map(chr, range(0x41, 0xA6A0)) if re.match(f"[{block}]", c) and c not in SHAPE_OF) + "]+")
+         for s, block in _BLOCKS.items()}
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+_ASCII_IGNORABLE = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 _SCRIPT_OF = {s: regex.compile(rf"\p{{Script_Extensions={s}}}") for s in SCRIPTS}
 
 
@@ -70,17 +75,34 @@ def _fold_table() -> dict[int, str | None]:
     return table
 
 
-_FOLD: dict[int, str | None] = {}
+_FOLD: dict[str, str] = {}
+_FOLDABLE: list[re.Pattern] = []
+
+
+def _prepare() -> None:
+    """The fold table closed under itself, and the classes of characters it changes; built once a worker.
+
+    One class for the basic plane, where a class is a bitmap, and one beyond it, where it would be searched linearly.
+    """
+    table = _fold_table()
+    for cp, to in table.items():
+        _FOLD[chr(cp)] = (to or "").translate(table)
+    for plane in (lambda c: c <= "\uffff", lambda c: c > "\uffff"):
+        _FOLDABLE.append(re.compile("[" + "".join(map(re.escape, sorted(filter(plane, _FOLD)))) + "]"))
 
 
 def fold(text: str) -> str:
     """Step 1: kinds and widths folded, invisible characters gone, composed."""
-    if text.isascii() and not _IGNORABLE.search(text):
-        return text.replace("\r\n", "\n").replace("\r", "\n")
-    if not _FOLD:
-        _FOLD.update(_fold_table())
-    text = text.replace("\r\n", "\n").replace("\r", "\n").translate(_FOLD)
-    return unicodedata.normalize("NFC", text.translate(_FOLD))
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if text.isascii():
+        return _ASCII_IGNORABLE.sub("", text)
+    if not _FOLDABLE:
+        _prepare()
+    text = _FOLDABLE[0].sub(lambda m: _FOLD[m[0]], text)
+    if _ASTRAL.search(text):
+        text = _FOLDABLE[1].sub(lambda m: _FOLD[m[0]], text)
+    return unicodedata.normalize("NFC", text)
 
 
 def _script(c: str) -> str | None:
@@ -97,23 +119,38 @@ def script_of(c: str) -> str | None:
     return _SCRIPTS[c]
 
 
+def _in_token(c: str) -> bool:
+    return c.isalnum() or unicodedata.category(c)[0] == "M"
+
+
+def _respell_around(text: str, spell: Callable[[str], str]) -> str:
+    """``spell`` applied to the tokens that hold a Cyrillic or Greek letter."""
+    out, at = [], 0
+    for m in _OTHER_SCRIPT.finditer(text):
+        if m.start() < at:
+            continue
+        start, end = m.start(), m.end()
+        while start > at and _in_token(text[start - 1]):
+            start -= 1
+        while end < len(text) and _in_token(text[end]):
+            end += 1
+        out += text[at:start], spell(text[start:end])
+        at = end
+    return "".join([*out, text[at:]])
+
+
 def canonical(text: str) -> tuple[str, int, int]:
     """(consistent form, mixed-script tokens, whole-script confusable tokens respelled)."""
     text = fold(text)
     if not _OTHER_SCRIPT.search(text):
         return text, 0, 0
     plain = unicodedata.normalize("NFD", text)
-    firm = Counter({c: n for c, n in Counter(plain).items() if c not in SHAPE_OF})
-    weight = Counter()
-    for c, n in firm.items():
-        if s := script_of(c):
-            weight[s] += n
+    weight = {s: len(plain) - len(firm.sub("", plain)) for s, firm in _FIRM.items()}
     main = max(SCRIPTS, key=lambda s: weight[s])
     mixed = whole = 0
 
-    def spell(m: regex.Match) -> str:
+    def spell(token: str) -> str:
         nonlocal mixed, whole
-        token = m[0]
         look = [c for c in token if c in SHAPE_OF]
         if not look:
             return token
@@ -127,7 +164,11 @@ def canonical(text: str) -> tuple[str, int, int]:
             whole += 1
         return spelled
 
-    return unicodedata.normalize("NFC", _TOKEN.sub(spell, plain)), mixed, whole
+    if main == "Latin":  # there a token without letters of another script is already consistent
+        spelled = _respell_around(plain, spell)
+    else:
+        spelled = _TOKEN.sub(lambda m: spell(m[0]), plain)
+    return unicodedata.normalize("NFC", spelled), mixed, whole
 
 
 FORM = T.StructType([T.StructField("form", T.StringType()), T.StructField("mixed_tokens", T.LongType()), T.StructField("whole_tokens", T.LongType())])
