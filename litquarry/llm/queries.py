@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litquarry.llm import cells, components, fusion, lookalikes, minhash
+from litquarry.llm import cells, components, fusion, lookalikes, minhash, mixing, packing, tokens
 from litquarry.session import load, materialise
 
 WS = r"[\x1c-\x1f\p{IsWhite_Space}]+"
@@ -97,6 +97,37 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return index.probe(1, 2**31 - 1).select("known_id", F.col("new_id").alias("incoming_id"))
 
 
+def _token_sizes(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents", "doc_id", "source", "text")
+    return materialise(docs.select(F.col("doc_id").alias("id"), "source", tokens.token_count(F.col("text")).alias("tokens")), "token-sizes")
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or of every piece of one larger than a container, for each capacity."""
+    packed = packing.pack_table(_token_sizes(spark, d).select("id", "tokens"), load(spark, d, "pack_specs"))
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used for each capacity, and the share of them that stays empty."""
+    by = p8_packed(spark, d).groupBy("spec_name").agg(F.countDistinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
+    full = F.col("n_containers") * F.col("capacity_tokens")
+    return by.join(load(spark, d, "pack_specs"), "spec_name").select(
+        "spec_name", "capacity_tokens", "n_containers", "n_tokens", (1 - F.col("n_tokens") / full).alias("unused_share"))
+
+
+def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mix with their number of uses and the share their source reached."""
+    selection, report = mixing.mix(_token_sizes(spark, d), load(spark, d, "mix_targets"))
+    reached = report.select("mix_name", "source", "share_reached")
+    return selection.join(reached, ["mix_name", "source"]).withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source in each mix."""
+    return mixing.mix(_token_sizes(spark, d), load(spark, d, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that look the same and are stored differently."""
     members = materialise(lookalikes.stored_forms(load(spark, d, "documents", "doc_id", "text"), "doc_id", "text"), "forms")
@@ -111,4 +142,4 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p4_found, p4_fused, p5_found, p5_classes, p6_found, p10_found, p10_forms)}
+    return {f.__name__: f for f in (p3_found, p4_found, p4_fused, p5_found, p5_classes, p6_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_forms)}
