@@ -110,7 +110,7 @@ def _agree(a: str, b: str) -> Column:
     return SKETCH_BITS - F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) - F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
 
 
-def _hot_keys(rows: DataFrame, hot: int) -> DataFrame:
+def hot_keys(rows: DataFrame, hot: int) -> DataFrame:
     """Band keys of more than ``hot`` classes. Counted in a fixed number of slots first; only full slots are looked into."""
     slot = F.pmod(F.col("key"), F.lit(SLOTS))
     full = rows.groupBy(slot.alias("slot")).count().filter(F.col("count") > hot).select("slot")
@@ -121,11 +121,11 @@ def candidate_pairs(classes: DataFrame, banding: Banding, hot: int = HOT) -> tup
     """(distinct candidate pairs a < b of class ids, ids of the classes in hot buckets)."""
     exploded = classes.select("id", "s1", "s2", F.posexplode("bands").alias("band", "h"))
     rows = exploded.select("id", "s1", "s2", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("h").cast("long")).alias("key"))
-    hot_keys = materialise(_hot_keys(rows.select("key"), hot), "hot-keys")
+    crowded_keys = materialise(hot_keys(rows.select("key"), hot), "hot-keys")
     cool, crowded = rows, rows.select("id").limit(0)
-    if not hot_keys.isEmpty():
-        cool = rows.join(hot_keys, "key", "left_anti")
-        crowded = rows.join(hot_keys, "key", "left_semi").select("id").distinct()
+    if not crowded_keys.isEmpty():
+        cool = rows.join(crowded_keys, "key", "left_anti")
+        crowded = rows.join(crowded_keys, "key", "left_semi").select("id").distinct()
     a, b = cool.alias("a"), cool.alias("b")
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (_agree("a", "b") >= banding.sketch_least)
     return a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), crowded

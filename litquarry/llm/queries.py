@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litquarry.llm import cells, components, fusion, lookalikes, minhash, mixing, packing, tokens
+from litquarry.llm import cells, components, entities, fusion, lookalikes, minhash, mixing, packing, tokens
+from litquarry.operators.timestamps import normalise_dates
 from litquarry.session import load, materialise
 
 WS = r"[\x1c-\x1f\p{IsWhite_Space}]+"
@@ -13,6 +14,24 @@ WS = r"[\x1c-\x1f\p{IsWhite_Space}]+"
 NO_TYPE = r"(?i)^[\W_]*(?:(?:n/?a|none|null|nil|unknown|unspecified|not (?:available|given|stated|specified)|n\.d\.)[\W_]*)*$"
 
 
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Preprints with the records of papers that report the same study, and the confidence of each."""
+
+    def table(name: str, key: str) -> DataFrame:
+        df = load(spark, d, name, key, "title", "abstract", "authors", "pub_date", "source", "doi")
+        dated = normalise_dates(df, load(spark, d, "feeds"), year_col="pub_date")
+        return dated.select(F.col(key).alias("id"), "title", "abstract", "authors", F.substring("date_norm", 1, 7).alias("month"),
+                            cells.doi_key(F.col("doi")).alias("identifier"))
+
+    found = entities.match(table("preprints", "preprint_id"), table("papers", "paper_id"))
+    return found.select(F.col("left_id").alias("preprint_id"), F.col("right_id").alias("paper_id"), "confidence")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The matched pairs alone."""
+    return p2_matches(spark, d).drop("confidence")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every linked record of papers with the group it belongs to."""
     links = load(spark, d, "match_links", "left_id", "right_id")
@@ -142,4 +161,4 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p4_found, p4_fused, p5_found, p5_classes, p6_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_forms)}
+    return {f.__name__: f for f in (p2_found, p2_matches, p3_found, p4_found, p4_fused, p5_found, p5_classes, p6_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_forms)}
