@@ -79,7 +79,7 @@ def truncate(text: Column, limit: int) -> Column:
 def split_authors(authors: Column, most_commas: int = 8) -> Column:
     """Semicolons separate; else commas, if they make at most ``most_commas`` parts; else the text is one author."""
     flat = clean_text(authors)
-    parts = lambda sep: F.filter(F.transform(F.split(flat, sep), F.trim), lambda x: x != "")
+    parts = lambda sep: F.filter(F.transform(F.split(flat, sep), lambda x: F.trim(x)), lambda x: x != "")
     commas = F.split(flat, ",")
     return (
         F.when(flat == "", F.array().cast("array<string>"))

@@ -38,7 +38,7 @@ KEYS = "keys AS (" + " UNION ".join(
 SEEN = f"""{KEYS}, firsts AS (SELECT key, min(ord) AS f FROM keys GROUP BY key),
  dups AS (SELECT DISTINCT ord FROM keys JOIN firsts USING (key) WHERE f < ord)"""
 
-HAY = """hay AS (SELECT paper_id AS ord, coalesce(title, '') || ' ' || coalesce(abstract, '') || ' ' || coalesce(publication_type, '') || ' ' || coalesce(category, '') AS h,
+HAY = """hay AS MATERIALIZED (SELECT paper_id AS ord, coalesce(title, '') || ' ' || coalesce(abstract, '') || ' ' || coalesce(publication_type, '') || ' ' || coalesce(category, '') AS h,
  coalesce(abstract, '') AS abstract, coalesce(doi, '') || coalesce(pmid, '') || coalesce(pmcid, '') AS ids, coalesce(is_preprint, false) AS is_preprint,
  coalesce(title, '') AS title, source, coalesce(publication_type, '') AS publication_type FROM papers)"""
 
@@ -47,16 +47,18 @@ def _re(term: str) -> str:
     return f"(^|[^\\p{{L}}\\p{{N}}_]){f'{S}+'.join(t.replace('-', '[-]') for t in term.split())}($|[^\\p{{L}}\\p{{N}}_])"
 
 
-def _values(name: str, columns: str, rows: list[str]) -> str:
-    return f"{name}({columns}) AS (VALUES {', '.join(rows)})"
+def _found(name: str, columns: str, rows: list[tuple[str, str]], text: str = "h") -> str:
+    """Table of (ord, columns): the rows whose term occurs. One branch a term, so that each pattern is a constant."""
+    each = [f"SELECT ord, {values} FROM hay WHERE regexp_matches({text}, {_q(_re(term))}, 'i')" for term, values in rows]
+    return f"{name}(ord, {columns}) AS ({' UNION ALL '.join(each)})"
 
 
-PROFILE_TERMS = _values("terms", "pos, profile, weight, term, re", [
-    f"({k}, {_q(p.id)}, {p.weight}, {_q(t)}, {_q(_re(t))})" for k, p in enumerate(TOPICS.profiles) for t in p.terms])
-EVIDENCE = _values("evidence", "term, re, v", [f"({_q(t)}, {_q(_re(t))}, {v})" for t, v in TOPICS.evidence.items()])
-NEGATIVE = _values("negative", "term, re", [f"({_q(t)}, {_q(_re(t))})" for t in TOPICS.negative_terms])
-ANCHORS = _values("anchors", "re", [f"({_q(_re(t))})" for t in TOPICS.anchors])
-HITS = "hits AS (SELECT ord, pos, profile, weight, count(*) AS n FROM hay JOIN terms ON regexp_matches(h, re, 'i') GROUP BY ALL)"
+PROFILE_TERMS = _found("terms", "pos, profile, weight, term", [
+    (t, f"{k}, {_q(p.id)}, {p.weight}, {_q(t)}") for k, p in enumerate(TOPICS.profiles) for t in p.terms])
+EVIDENCE = _found("evidence", "term, v", [(t, f"{_q(t)}, {v}") for t, v in TOPICS.evidence.items()], "lower(h)")
+NEGATIVE = _found("negative", "term", [(t, _q(t)) for t in TOPICS.negative_terms])
+ANCHORS = _found("anchors", "term", [(t, _q(t)) for t in TOPICS.anchors])
+HITS = "hits AS (SELECT ord, pos, profile, weight, count(*) AS n FROM terms GROUP BY ALL)"
 
 
 def _in(ids: tuple[str, ...]) -> str:
@@ -66,9 +68,9 @@ def _in(ids: tuple[str, ...]) -> str:
 R = TOPICS.roles
 SCORED = f"""{HAY}, {PROFILE_TERMS}, {EVIDENCE}, {NEGATIVE}, {ANCHORS}, {HITS},
  gains AS (SELECT ord, sum(weight + least(n, 4)) AS gain, list(profile ORDER BY pos) AS profiles FROM hits GROUP BY ord),
- lost AS (SELECT ord, count(*) AS k FROM hay JOIN negative ON regexp_matches(h, re, 'i') GROUP BY ord),
- proof AS (SELECT ord, sum(v) AS e FROM hay JOIN evidence ON regexp_matches(lower(h), re, 'i') GROUP BY ord),
- anchored AS (SELECT DISTINCT ord FROM hay JOIN anchors ON regexp_matches(h, re, 'i')),
+ lost AS (SELECT ord, count(*) AS k FROM negative GROUP BY ord),
+ proof AS (SELECT ord, sum(v) AS e FROM evidence GROUP BY ord),
+ anchored AS (SELECT DISTINCT ord FROM anchors),
  parts AS (SELECT hay.*, coalesce(profiles, []) AS profiles, coalesce(gain, 0) - 2 * coalesce(k, 0) AS gain,
    coalesce(e, 0) - CASE WHEN is_preprint THEN 3 ELSE 0 END + CASE WHEN abstract <> '' THEN 1 ELSE -3 END + CASE WHEN ids <> '' THEN 1 ELSE 0 END AS ev,
    anchored.ord IS NOT NULL AS anchor
@@ -121,8 +123,8 @@ def oracle_sql() -> dict[str, str]:
             + f" ELSE 'title:' || {_title('title')} END AS key FROM papers",
         "dedupe_unique": f"WITH {SEEN} SELECT paper_id AS ord, coalesce(title, '') AS title FROM papers WHERE paper_id NOT IN (SELECT ord FROM dups)",
         "dedupe_duplicates": f"WITH {SEEN} SELECT paper_id AS ord, coalesce(title, '') AS title FROM papers WHERE paper_id IN (SELECT ord FROM dups)",
-        "term_hits": f"""WITH {HAY}, {PROFILE_TERMS}, {EVIDENCE}, {NEGATIVE}, every AS (SELECT term, re FROM terms UNION SELECT term, re FROM evidence UNION SELECT term, re FROM negative)
-            SELECT ord, term FROM hay JOIN every ON regexp_matches(h, re, 'i')""",
+        "term_hits": f"""WITH {HAY}, {PROFILE_TERMS}, {EVIDENCE}, {NEGATIVE}
+            SELECT ord, term FROM terms UNION SELECT ord, term FROM evidence UNION SELECT ord, term FROM negative""",
         "profile_match": f"WITH {HAY}, {PROFILE_TERMS}, {HITS} SELECT ord, profile, n AS hits FROM hits",
         "scores": f"""WITH {SCORED} SELECT ord, array_to_string(profiles, ';') AS profiles, CAST(rel AS INTEGER) AS relevance_score, CAST(ev AS INTEGER) AS evidence_score,
             CAST(total AS INTEGER) AS total_score, decision FROM scored""",
