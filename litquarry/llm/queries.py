@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litquarry.llm import cells, components, entities, fusion, lookalikes, minhash, mixing, packing, tokens
+from litquarry.llm.sql import oracle_sql
 from litquarry.operators.timestamps import normalise_dates
 from litquarry.session import load, materialise
 
@@ -162,3 +163,6 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (p2_found, p2_matches, p3_found, p4_found, p4_fused, p5_found, p5_classes, p6_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_forms)}
+
+
+__all__ = ["oracle_sql", "queries"]
