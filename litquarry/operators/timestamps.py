@@ -250,7 +250,8 @@ def normalised(date: Column, tz: Column, order: Column, tables: dict[str, ZoneTa
         for d, z, o in batches:
             yield pd.Series(normalise_batch(d, z, o, tables), dtype=object)
 
-    return convert(date, tz, order)
+    # marked so that a filter on the result does not make the optimiser evaluate it twice
+    return convert.asNondeterministic()(date, tz, order)
 
 
 def year_of(text: Column) -> Column:
