@@ -12,7 +12,7 @@ from litquarry.operators import report, score
 from litquarry.plans.pipeline import ranked_papers
 from litquarry.plans.vocabulary import TOPICS
 from litquarry.schema import as_papers
-from litquarry.session import load, materialise
+from litquarry.session import load, materialise, spread
 from litquarry.sources import log, payloads
 from litquarry.sources.query_groups import query_groups
 
@@ -23,7 +23,7 @@ def papers_view(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """The papers table in the record schema; the key is the order of arrival."""
     df = load(spark, d, "papers").withColumnsRenamed({"paper_id": "ord", "pub_year": "year", "pub_date": "date"})
     df = as_papers(df.drop("authors", "matched_profiles"))
-    return df.select("ord", *columns) if columns else df
+    return df.select("ord", *columns) if columns else spread(df)
 
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,7 @@ def dedupe_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return papers_view(spark, d, "title", "abstract", "publication_type", "category", "doi", "pmid", "pmcid", "is_preprint")
+    return spread(papers_view(spark, d, "title", "abstract", "publication_type", "category", "doi", "pmid", "pmcid", "is_preprint"))
 
 
 def term_hits(spark: SparkSession, d: str) -> DataFrame:
