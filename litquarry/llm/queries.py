@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from litquarry.llm import cells, components, entities, fusion, lookalikes, minhash, mixing, packing, tokens
 from litquarry.llm.sql import oracle_sql
 from litquarry.operators.timestamps import normalise_dates
-from litquarry.session import load, materialise
+from litquarry.session import load, materialise, spread
 
 WS = r"[\x1c-\x1f\p{IsWhite_Space}]+"
 #: Publication types that only say that none is given.
@@ -19,7 +19,7 @@ def p2_matches(spark: SparkSession, d: str) -> DataFrame:
     """Preprints with the records of papers that report the same study, and the confidence of each."""
 
     def table(name: str, key: str) -> DataFrame:
-        df = load(spark, d, name, key, "title", "abstract", "authors", "pub_date", "source", "doi")
+        df = spread(load(spark, d, name, key, "title", "abstract", "authors", "pub_date", "source", "doi"))
         dated = normalise_dates(df, load(spark, d, "feeds"), year_col="pub_date")
         return dated.select(F.col(key).alias("id"), "title", "abstract", "authors", F.substring("date_norm", 1, 7).alias("month"),
                             cells.doi_key(F.col("doi")).alias("identifier"))
@@ -85,7 +85,7 @@ def p4_fused(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _near_papers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    papers = load(spark, d, "papers", "paper_id", "title", "abstract")
+    papers = spread(load(spark, d, "papers", "paper_id", "title", "abstract"))
     texts = papers.select(F.col("paper_id").alias("id"), F.concat_ws(" ", "title", "abstract").alias("text"))
     return minhash.near_duplicate_classes(texts, threshold=0.8, n=1, min_size=30)
 
@@ -118,7 +118,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _token_sizes(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents", "doc_id", "source", "text")
+    docs = spread(load(spark, d, "documents", "doc_id", "source", "text"))
     return materialise(docs.select(F.col("doc_id").alias("id"), "source", tokens.token_count(F.col("text")).alias("tokens")), "token-sizes")
 
 
@@ -150,7 +150,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that look the same and are stored differently."""
-    members = materialise(lookalikes.stored_forms(load(spark, d, "documents", "doc_id", "text"), "doc_id", "text"), "forms")
+    members = materialise(lookalikes.stored_forms(spread(load(spark, d, "documents", "doc_id", "text")), "doc_id", "text"), "forms")
     return lookalikes.same_look_pairs(members).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
