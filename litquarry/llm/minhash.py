@@ -171,11 +171,11 @@ def near_duplicate_classes(
     """
     banding = choose_banding(threshold, recall)
     signed = materialise(signatures(texts, banding, n=n, min_size=min_size), "signatures")
-    named = signed.groupBy("k1", "k2").agg(F.min("id").alias("class_id"))
-    members = signed.select("id", "k1", "k2").join(named, ["k1", "k2"]).select("id", "class_id")
-    classes = signed.dropDuplicates(["k1", "k2"])
+    # the least id stands for its class: whichever side of the self-join asks, it is the same record
+    least = signed.groupBy("k1", "k2").agg(F.min(F.struct("id", "s1", "s2", "bands")).alias("c"))
+    classes = materialise(least.select("k1", "k2", "c.*"), "classes")
+    members = signed.select("id", "k1", "k2").join(classes.select("k1", "k2", F.col("id").alias("class_id")), ["k1", "k2"]).select("id", "class_id")
     pairs, crowded = candidate_pairs(classes.drop("k1", "k2"), banding, hot)
-    # dropDuplicates keeps any record of a class; ids are settled on the least one after the pairs are verified
     found = materialise(pairs, "candidates")
     wanted = found.select(F.col("a").alias("id")).unionAll(found.select(F.col("b").alias("id"))).distinct()
     if not crowded.isEmpty():
@@ -184,14 +184,7 @@ def near_duplicate_classes(
         found = materialise(found.unionAll(more).distinct(), "candidates")
     else:
         sets = materialise(_gram_sets(texts.join(wanted, "id", "left_semi"), n), "sets")
-    verified = materialise(verify(found, sets, threshold), "near-pairs")
-    to_class = members.select(F.col("id").alias("x"), "class_id")
-    pairs = (
-        verified.join(to_class, verified["a"] == F.col("x")).drop("x").withColumnRenamed("class_id", "ca")
-        .join(to_class, verified["b"] == F.col("x")).drop("x").withColumnRenamed("class_id", "cb")
-        .select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "similarity")
-    )
-    return members, pairs
+    return members, materialise(verify(found, sets, threshold), "near-pairs")
 
 
 def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
