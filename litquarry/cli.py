@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from litquarry.config import load_settings, load_topics
 from litquarry.plans.pipeline import run_pipeline
-from litquarry.session import materialise, ship_package
+from litquarry.session import materialise, release, ship_package
 from litquarry.sources.fixture import load_fixture
 from litquarry.sources.services import fetch_live
 
@@ -49,6 +49,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     run = run_pipeline(papers, topics, load_settings(args.settings), args.out_dir, args.data_dir, args.date)
     print(run.report)
     print(f"\nQA: fetched={fetched} scored={run.ranked.count()} duplicates={run.duplicates.count()}")
+    release(spark)
     return 0
 
 

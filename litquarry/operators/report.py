@@ -71,9 +71,9 @@ def entry_lines() -> Column:
         field("Takeaway", F.col("summary"), ""), field("Limitations", F.col("limitations"), ""), field("Confidence", F.col("confidence"), ""), F.lit(""))
 
 
-def render(ranked: DataFrame, today: str, settings: Settings = Settings(), roles: Roles = Roles()) -> str:
-    """The whole report. Only the listed records, at most 28, come to the driver."""
-    listed = section_topk(ranked, roles).select("section", "position", entry_lines().alias("lines")).orderBy("section", "position").collect()
+def render(ranked: DataFrame, today: str, settings: Settings = Settings(), roles: Roles = Roles(), listed: DataFrame | None = None) -> str:
+    """The whole report. Only the listed records, at most 28, come to the driver; ``listed`` has them if already cut."""
+    listed = (section_topk(ranked, roles) if listed is None else listed).select("section", "position", entry_lines().alias("lines")).orderBy("section", "position").collect()
     counts = qa_counts(ranked, roles).first()
     out = [f"# {settings.title}", f"Date: {today}", "", f"> {settings.note}", ""]
     for name, heading, _, empty, _ in SECTIONS:

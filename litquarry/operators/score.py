@@ -99,20 +99,20 @@ def decision(topics: Topics, anchored: Column) -> Column:
 def rank(scored: DataFrame) -> DataFrame:
     """Adds ``rank`` from 1: digest first, then total downwards, peer-reviewed first, title, order of arrival.
 
-    A global numbering without a global task: rows are range-partitioned and sorted by the order, numbered inside each
-    partition, and shifted by the sizes of the partitions before, of which there are as many as partitions. The numbered
-    rows are a written table, since a second sampling of the ranges could cut them elsewhere.
+    A global numbering without a global task: the order's columns alone are range-partitioned and sorted, numbered inside
+    each partition, and shifted by the sizes of the partitions before, of which there are as many as partitions. The
+    numbered rows are a written table, since a second sampling of the ranges could cut them elsewhere. Pass scores that
+    are cheap to read twice (a written table); texts do not move unless a later step asks for them.
     """
-    keyed = scored.withColumns({
-        "__late": (F.col("decision") != "digest").cast("int"), "__down": -F.col("total_score"),
-        "__title": F.lower(F.coalesce("title", F.lit(""))),
-    })
-    order = ["__late", "__down", "is_preprint", "__title", "ord"]
+    order = ["late", "down", "is_preprint", "lower_title", "ord"]
+    keys = scored.select(
+        (F.col("decision") != "digest").cast("int").alias("late"), (-F.col("total_score")).alias("down"), "is_preprint",
+        F.lower(F.coalesce("title", F.lit(""))).alias("lower_title"), "ord")
     # the full order is the range key, so that a frequent score does not fill one partition
-    placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id())
-    inside = materialise(placed, "ranked").withColumns({
-        "__part": F.shiftright("__row", 33), "__n": F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)) + 1})
-    sizes = inside.groupBy("__part").agg(F.count("*").alias("__size"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
-    return inside.join(shift, "__part").withColumn("rank", F.col("__n") + F.col("__before")).drop(*order[:2], "__title", "__row", "__part", "__n", "__before")
+    placed = keys.repartitionByRange(*order).sortWithinPartitions(*order).select("ord", F.monotonically_increasing_id().alias("row"))
+    numbered = materialise(placed, "ranked").select("ord", F.shiftright("row", 33).alias("part"), (F.col("row").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("n"))
+    sizes = numbered.groupBy("part").agg(F.count("*").alias("size"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    ranks = numbered.join(shift, "part").select("ord", (F.col("n") + F.col("before")).alias("rank"))
+    return scored.join(ranks, "ord")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from litquarry.config import Settings, Topics
 from litquarry.operators.annotate import annotate
 from litquarry.operators.dedupe import mark_duplicates
-from litquarry.operators.report import render, write_report
+from litquarry.operators.report import render, section_topk, write_report
 from litquarry.operators.score import rank, score
 from litquarry.session import materialise
 from litquarry.sources.log import export_csv, log_rows, upsert
@@ -23,11 +23,27 @@ class Run(NamedTuple):
     duplicates: DataFrame
 
 
+SCORES = ("ord", "title", "is_preprint", "matched_profiles", "relevance_score", "evidence_score", "total_score", "decision")
+KEYS = ("ord", "title", "doi", "pmid", "pmcid")
+
+
+def ranked_scores(papers: DataFrame, topics: Topics) -> tuple[DataFrame, DataFrame]:
+    """(scores and rank of the unique records, without their long texts; ord of the duplicates)."""
+    late = mark_duplicates(papers.select(*KEYS)).filter("is_duplicate").select("ord")
+    scored = score(papers.join(late, "ord", "left_anti"), topics).select(*SCORES)
+    return rank(materialise(scored, "scored")), late
+
+
+def listed_papers(papers: DataFrame, ranked: DataFrame, topics: Topics) -> DataFrame:
+    """The records of the report with their texts: the cut is made on the scores, then the few rows fetch their texts."""
+    top = section_topk(ranked, topics.roles).drop("title", "is_preprint")
+    return annotate(papers.join(top, "ord"))
+
+
 def ranked_papers(papers: DataFrame, topics: Topics) -> tuple[DataFrame, DataFrame]:
     """(unique records scored, ranked and annotated; duplicates)."""
-    marked = mark_duplicates(papers)
-    unique = marked.filter("NOT is_duplicate").drop("is_duplicate")
-    return annotate(rank(score(unique, topics))), marked.filter("is_duplicate").drop("is_duplicate")
+    ranked, late = ranked_scores(papers, topics)
+    return annotate(papers.join(ranked.drop("title", "is_preprint"), "ord")), papers.join(late, "ord", "left_semi")
 
 
 def run_pipeline(papers: DataFrame, topics: Topics, settings: Settings, out_dir: str | Path, data_dir: str | Path, today: str | None = None) -> Run:

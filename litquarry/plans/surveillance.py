@@ -9,7 +9,7 @@ from litquarry.functions import text
 from litquarry.operators import annotate as notes
 from litquarry.operators import dedupe as dd
 from litquarry.operators import report, score
-from litquarry.plans.pipeline import ranked_papers
+from litquarry.plans.pipeline import listed_papers, ranked_scores
 from litquarry.plans.vocabulary import TOPICS
 from litquarry.schema import as_papers
 from litquarry.session import load, materialise, spread
@@ -106,7 +106,8 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, d: str) -> DataFrame:
-    return score.rank(score.score(_texts(spark, d), TOPICS)).select("ord", "rank", "total_score", "decision")
+    scored = score.score(_texts(spark, d), TOPICS).select("ord", "title", "is_preprint", "total_score", "decision")
+    return score.rank(materialise(scored, "scored")).select("ord", "rank", "total_score", "decision")
 
 
 def study_type(spark: SparkSession, d: str) -> DataFrame:
@@ -121,21 +122,30 @@ def summaries(spark: SparkSession, d: str) -> DataFrame:
     return notes.annotate(_texts(spark, d)).select("ord", "confidence", "summary")
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    return ranked_papers(papers_view(spark, d), TOPICS)[0]
+def _listed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(scores of all records, the listed records with their texts)."""
+    papers = papers_view(spark, d)
+    ranked = ranked_scores(papers, TOPICS)[0]
+    return ranked, listed_papers(papers, ranked, TOPICS)
+
+
+def _report(spark: SparkSession, d: str) -> str:
+    ranked, listed = _listed(spark, d)
+    return report.render(ranked, DAY, roles=TOPICS.roles, listed=listed)
 
 
 def section_topk(spark: SparkSession, d: str) -> DataFrame:
     """The listed records of each section after deduplication."""
-    return report.section_topk(_ranked(spark, d), TOPICS.roles).select("section", "position", "ord", "total_score", "title")
+    return _listed(spark, d)[1].select("section", "position", "ord", "total_score", "title")
 
 
 def qa_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts before the cut, and the duplicates."""
-    marked = dd.mark_duplicates(papers_view(spark, d))
-    unique = score.score(marked.filter("NOT is_duplicate"), TOPICS)
-    twice = marked.agg(F.count("*").alias("fetched"), F.count_if("is_duplicate").alias("duplicates"))
-    return report.qa_counts(unique, TOPICS.roles).crossJoin(twice)  # one row by one row
+    scored = score.score(dd.mark_duplicates(papers_view(spark, d)), TOPICS)
+    kept = F.when(~F.col("is_duplicate"), F.coalesce(report.section(TOPICS.roles), F.lit("unlisted")))
+    return scored.select(kept.alias("s"), "is_duplicate").agg(
+        F.count("s").alias("scored"), *(F.count_if(F.coalesce(F.col("s") == name, F.lit(False))).alias(name) for name, *_ in report.SECTIONS),
+        F.count("*").alias("fetched"), F.count_if("is_duplicate").alias("duplicates"))
 
 
 def daily_window(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +218,7 @@ def article_xml(spark: SparkSession, d: str) -> DataFrame:
 
 def report_text(spark: SparkSession, d: str) -> DataFrame:
     """The lines of the rendered report."""
-    lines = report.render(_ranked(spark, d), DAY, roles=TOPICS.roles).split("\n")
+    lines = _report(spark, d).split("\n")
     return spark.createDataFrame(list(enumerate(lines)), "n int, line string")
 
 
@@ -223,8 +233,7 @@ def report_entries(spark: SparkSession, d: str) -> DataFrame:
 def message(spark: SparkSession, d: str) -> DataFrame:
     from litquarry.notify import build_message
 
-    markdown = report.render(_ranked(spark, d), DAY, roles=TOPICS.roles)
-    return spark.createDataFrame(list(enumerate(build_message(markdown, "https://reports.example/latest").split("\n"))), "n int, line string")
+    return spark.createDataFrame(list(enumerate(build_message(_report(spark, d), "https://reports.example/latest").split("\n"))), "n int, line string")
 
 
 NAMES = (clean_text, normalize_title, first_sentence, shorten, truncate, split_authors, query_builder, query_group_texts, paper_keys, dedupe_key,

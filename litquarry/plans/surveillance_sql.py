@@ -91,6 +91,8 @@ KIND = f"""CASE WHEN coalesce(is_preprint, false) THEN 'Preprint' WHEN regexp_ma
  WHEN regexp_matches({LOW}, 'cohort') THEN 'Cohort study' WHEN regexp_matches({LOW}, 'case report') THEN 'Case report'
  WHEN regexp_matches({LOW}, 'cell line|in vitro') THEN 'Preclinical / in vitro'
  WHEN coalesce(publication_type, '') <> '' THEN publication_type ELSE 'Original/research article or unclear' END"""
+CONFIDENCE = f"""CASE WHEN coalesce(is_preprint, false) THEN 'Low' WHEN regexp_matches(lower({KIND}), 'guideline|systematic review|meta-analysis') THEN 'Moderate'
+ WHEN coalesce(abstract, '') <> '' THEN 'Moderate' ELSE 'Low' END"""
 FLAT = _clean("abstract")
 FIRST = rf"""CASE WHEN regexp_matches({FLAT}, '^.+?[.!?] ') THEN regexp_extract({FLAT}, '^(.+?[.!?]) ', 1)
  ELSE substr({FLAT}, 1, 280) || CASE WHEN length({FLAT}) > 280 THEN '...' ELSE '' END END"""
@@ -135,13 +137,16 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN coalesce(abstract, '') = '' THEN 'No abstract available in fetched metadata.' END,
               CASE WHEN contains({LOW}, 'retrospective') THEN 'Retrospective design may limit causal inference.' END,
               CASE WHEN regexp_matches({LOW}, 'cell line|in vitro|mouse|mice') THEN 'Preclinical evidence; clinical applicability is uncertain.' END) AS l FROM papers)""",
-        "summaries": f"""SELECT paper_id AS ord, CASE WHEN coalesce(is_preprint, false) THEN 'Low' WHEN regexp_matches(lower({KIND}), 'guideline|systematic review|meta-analysis') THEN 'Moderate'
-              WHEN coalesce(abstract, '') <> '' THEN 'Moderate' ELSE 'Low' END AS confidence,
+        "summaries": f"""SELECT paper_id AS ord, {CONFIDENCE} AS confidence,
             CASE WHEN {FLAT} = '' THEN 'No abstract available. Check the full text before interpreting.' ELSE {FIRST} END
               || ' Interpretation should remain cautious because this is abstract-level surveillance.' AS summary FROM papers""",
         "section_topk": f"""WITH {SEEN}, {SCORED}, {SECTIONED}, placed AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY {ORDER}) AS position FROM sectioned WHERE section IS NOT NULL)
             SELECT section, CAST(position AS INTEGER) AS position, ord, CAST(total AS INTEGER) AS total_score, title FROM placed
             WHERE position <= CASE section WHEN 'pathology' THEN 10 WHEN 'watchlist' THEN 8 ELSE 5 END""",
+        "report_entries": f"""WITH {SEEN}, {SCORED}, {SECTIONED}, placed AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY {ORDER}) AS position FROM sectioned WHERE section IS NOT NULL)
+            SELECT section, position, trim(placed.title) AS title, CAST(total AS VARCHAR) || ' = relevance ' || CAST(rel AS VARCHAR) || ' + evidence ' || CAST(ev AS VARCHAR) AS score, confidence
+            FROM placed JOIN (SELECT paper_id AS ord, {CONFIDENCE} AS confidence FROM papers) USING (ord)
+            WHERE position <= CASE section WHEN 'pathology' THEN 10 WHEN 'watchlist' THEN 8 ELSE 5 END""",
         "qa_counts": f"""WITH {SEEN}, {SCORED}, {SECTIONED} SELECT count(*) AS scored, count(*) FILTER (section = 'pathology') AS pathology, count(*) FILTER (section = 'gp') AS gp,
             count(*) FILTER (section = 'preprints') AS preprints, count(*) FILTER (section = 'watchlist') AS watchlist,
             (SELECT count(*) FROM papers) AS fetched, (SELECT count(*) FROM dups) AS duplicates FROM sectioned""",

@@ -55,8 +55,20 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+_WRITTEN: list[str] = []
+
+
 def table_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/litquarry-{label}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark)}/litquarry-{label}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table this session has materialised. For long sessions, once the results read from them are stored."""
+    while _WRITTEN:
+        _remove(spark, _WRITTEN.pop())
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
