@@ -54,6 +54,9 @@ class Grammar:
         all_seps = f"{STRONG}|{WEAK}" + (rf"|{BLANK}" if blank_separates else "")
         self.strong, self.full = re.compile(STRONG), re.compile(all_seps)
         self._missing = {s: re.compile(rf"(?:{'|'.join(longest_first)})(?=\s*(?:{s.pattern}|\Z|\]))", re.I) for s in (self.strong, self.full)}
+        # missing texts that hold a separator themselves
+        own = [re.escape(m) for m in missing if self.strong.search(m)]
+        self._loose = re.compile("|".join(own) or r"(?!)", re.I)
         self.parse = functools.lru_cache(maxsize=65_536)(self._parse)
 
     def _parse(self, text: str | None) -> tuple[tuple[int, str, bool], ...]:
@@ -67,6 +70,10 @@ class Grammar:
 
     def _has_strong(self, text: str) -> bool:
         """Whether a strong separator that is not part of a missing text stands outside quotes."""
+        if not self.strong.search(text):
+            return False
+        if '"' not in text and not self._loose.search(text):
+            return True
         at, end = 0, len(text)
         while at < end:
             if text[at] == '"' and (m := self._closed(text, at, self.full)):
