@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARD_ITEMS = 20_000
+MAX_SPECS = 1_000
 
 
 class _Stock:
@@ -133,7 +134,11 @@ def pack_table(sizes: DataFrame, specs: DataFrame, *, shard_items: int = SHARD_I
     """
     numbered = sizes.select("id", "tokens", F.xxhash64("id", F.monotonically_increasing_id()).alias("item"))
     shards = max(1, math.ceil(sizes.count() / shard_items))
-    wanted = specs.filter("capacity_tokens > 0").select("spec_name", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
-    # a few specs against all items, each of which goes into one container of every spec: that is the result itself
-    items = numbered.withColumn("shard", F.pmod("item", F.lit(shards))).join(F.broadcast(wanted.limit(1_000)))
+    rows = specs.filter("capacity_tokens > 0").select("spec_name", F.col("capacity_tokens").cast("long").alias("capacity")).distinct().limit(MAX_SPECS + 1).collect()
+    if len(rows) > MAX_SPECS:
+        raise ValueError(f"more than {MAX_SPECS} specs")
+    # every item goes into one container of every spec: a stated, bounded list, exploded, not joined
+    wanted = F.array(*(F.struct(F.lit(r.spec_name).alias("spec_name"), F.lit(r.capacity).alias("capacity")) for r in rows))
+    spec = "struct<spec_name: string, capacity: bigint>"
+    items = numbered.withColumn("shard", F.pmod("item", F.lit(shards))).select("*", F.explode(wanted.cast(f"array<{spec}>")).alias("s")).select("*", "s.*").drop("s")
     return items.groupBy("spec_name", "shard").applyInPandas(_pack_shard, PACKED)
