@@ -1,8 +1,9 @@
 """Near-duplicate records: MinHash banding on word n-gram sets, every candidate verified on the full sets.
 
 1. One Python pass turns each text into its n-gram set's name (128 bits), ``bands`` band hashes of ``rows`` MinHash
-   values each and a 128-bit one-bit-MinHash sketch. ``rows`` is the largest number for which ``MAX_BANDS`` bands still
-   reach the target recall at the threshold.
+   values each and a 128-bit one-bit-MinHash sketch. ``rows`` is the largest number for which the allowed bands still
+   reach the target recall at the threshold. More bands are allowed in larger collections (``bands_for``): the recall is
+   the same at every size, but chance collisions grow with the square of the collection and fall with ``rows``.
 2. Records with the same set are one class; only its least id goes on, so a group of exact copies costs one row.
 3. Classes are shuffled on (band, hash) and joined there; the sketch drops nearly all chance collisions inside the
    join. A bucket with more than ``HOT`` classes is not enumerated: its classes leave for an exact prefix-filter join
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 from litquarry.llm.words import WORD, WordHashes, mix, set_sums
 from litquarry.session import materialise
 
-MAX_BANDS = 20
+BANDS_BY_SIZE = ((5_000_000, 20), (100_000_000, 40), (math.inf, 64))  # collections below so many records: bands
 SKETCH_BITS = 128
 HOT = 5_000
-SLOTS = 65_536
+SLOTS, MOST_SLOTS = 1 << 16, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,12 @@ class Banding:
         return math.floor(SKETCH_BITS * p - 4.5 * math.sqrt(SKETCH_BITS * p * (1 - p)))
 
 
-def choose_banding(threshold: float = 0.8, recall: float = 0.999, max_bands: int = MAX_BANDS) -> Banding:
+def bands_for(records: int) -> int:
+    """Bands allowed for a collection of so many records."""
+    return next(bands for below, bands in BANDS_BY_SIZE if records < below)
+
+
+def choose_banding(threshold: float = 0.8, recall: float = 0.999, max_bands: int = BANDS_BY_SIZE[0][1]) -> Banding:
     """The most rows (fewest chance collisions) with which at most ``max_bands`` bands reach the recall."""
     best = Banding(threshold, max_bands, 1)
     for rows in range(1, 33):
@@ -110,18 +116,24 @@ def _agree(a: str, b: str) -> Column:
     return SKETCH_BITS - F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) - F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
 
 
-def hot_keys(rows: DataFrame, hot: int) -> DataFrame:
-    """Band keys of more than ``hot`` classes. Counted in a fixed number of slots first; only full slots are looked into."""
-    slot = F.pmod(F.col("key"), F.lit(SLOTS))
+def hot_keys(rows: DataFrame, hot: int, expected: int = 0) -> DataFrame:
+    """Keys of more than ``hot`` rows. Counted in a bounded number of slots first; only full slots are looked into.
+
+    ``expected`` is about how many rows there are: slots are added so that a usual slot stays far from full.
+    """
+    slots = SLOTS
+    while slots < MOST_SLOTS and expected > slots * hot / 8:
+        slots *= 2
+    slot = F.pmod(F.col("key"), F.lit(slots))
     full = rows.groupBy(slot.alias("slot")).count().filter(F.col("count") > hot).select("slot")
     return rows.join(F.broadcast(full), slot == F.col("slot"), "left_semi").groupBy("key").count().filter(F.col("count") > hot).select("key")
 
 
-def candidate_pairs(classes: DataFrame, banding: Banding, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def candidate_pairs(classes: DataFrame, banding: Banding, hot: int = HOT, records: int = 0) -> tuple[DataFrame, DataFrame]:
     """(distinct candidate pairs a < b of class ids, ids of the classes in hot buckets)."""
     exploded = classes.select("id", "s1", "s2", F.posexplode("bands").alias("band", "h"))
     rows = exploded.select("id", "s1", "s2", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("h").cast("long")).alias("key"))
-    crowded_keys = materialise(hot_keys(rows.select("key"), hot), "hot-keys")
+    crowded_keys = materialise(hot_keys(rows.select("key"), hot, records * banding.bands), "hot-keys")
     cool, crowded = rows, rows.select("id").limit(0)
     if not crowded_keys.isEmpty():
         cool = rows.join(crowded_keys, "key", "left_anti")
@@ -169,13 +181,14 @@ def near_duplicate_classes(
 
     Every record with a large enough set has one member row; copies are not paired with each other.
     """
-    banding = choose_banding(threshold, recall)
+    records = texts.count()
+    banding = choose_banding(threshold, recall, bands_for(records))
     signed = materialise(signatures(texts, banding, n=n, min_size=min_size), "signatures")
     # the least id stands for its class: whichever side of the self-join asks, it is the same record
     least = signed.groupBy("k1", "k2").agg(F.min(F.struct("id", "s1", "s2", "bands")).alias("c"))
     classes = materialise(least.select("k1", "k2", "c.*"), "classes")
     members = signed.select("id", "k1", "k2").join(classes.select("k1", "k2", F.col("id").alias("class_id")), ["k1", "k2"]).select("id", "class_id")
-    pairs, crowded = candidate_pairs(classes.drop("k1", "k2"), banding, hot)
+    pairs, crowded = candidate_pairs(classes.drop("k1", "k2"), banding, hot, records)
     found = materialise(pairs, "candidates")
     wanted = found.select(F.col("a").alias("id")).unionAll(found.select(F.col("b").alias("id"))).distinct()
     if not crowded.isEmpty():

@@ -60,7 +60,9 @@ def test_long_text_is_used_whole(spark):
 
 def test_banding_reaches_its_recall():
     b = m.choose_banding(0.8, 0.999)
-    assert b.recall(0.8) >= 0.999 and b.bands <= m.MAX_BANDS and m.choose_banding(0.8, 0.9).rows > b.rows
+    assert b.recall(0.8) >= 0.999 and b.bands <= 20 and m.choose_banding(0.8, 0.9).rows > b.rows
+    big = m.choose_banding(0.8, 0.999, m.bands_for(10**9))
+    assert big.recall(0.8) >= 0.999 and big.rows > b.rows and m.bands_for(0) == 20
 
 
 def test_class_representative_does_not_depend_on_the_order_of_rows(spark):
