@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 #: Where the public vocabulary files lie; every caller may pass another path.
 VOCABULARY = os.environ.get("LITQUARRY_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the public pre-tokenisation pattern of that vocabulary.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @functools.lru_cache(maxsize=4)
