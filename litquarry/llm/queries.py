@@ -24,7 +24,7 @@ def p2_matches(spark: SparkSession, d: str) -> DataFrame:
         return dated.select(F.col(key).alias("id"), "title", "abstract", "authors", F.substring("date_norm", 1, 7).alias("month"),
                             cells.doi_key(F.col("doi")).alias("identifier"))
 
-    found = entities.match(table("preprints", "preprint_id"), table("papers", "paper_id"))
+    found = entities.match(table("preprints", "preprint_id"), table("papers", "paper_id"), copies=True)
     return found.select(F.col("left_id").alias("preprint_id"), F.col("right_id").alias("paper_id"), "confidence")
 
 
