@@ -19,12 +19,12 @@ def p2_matches(spark: SparkSession, d: str) -> DataFrame:
     """Preprints with the records of papers that report the same study, and the confidence of each."""
 
     def table(name: str, key: str) -> DataFrame:
-        df = spread(load(spark, d, name, key, "title", "abstract", "authors", "pub_date", "source", "doi"))
+        df = spread(load(spark, d, name, key, "title", "authors", "pub_date", "source", "doi"))
         dated = normalise_dates(df, load(spark, d, "feeds"), year_col="pub_date")
-        return dated.select(F.col(key).alias("id"), "title", "abstract", "authors", F.substring("date_norm", 1, 7).alias("month"),
+        return dated.select(F.col(key).alias("id"), "title", "authors", F.substring("date_norm", 1, 7).alias("month"),
                             cells.doi_key(F.col("doi")).alias("identifier"))
 
-    found = entities.match(table("preprints", "preprint_id"), table("papers", "paper_id"), copies=True)
+    found = entities.match(table("preprints", "preprint_id"), table("papers", "paper_id"))
     return found.select(F.col("left_id").alias("preprint_id"), F.col("right_id").alias("paper_id"), "confidence")
 
 
