@@ -1,13 +1,16 @@
 """Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks.
 
 The total is the largest at which every source can give its share: the least of ``tokens * max_repeats / share``. It is
-cut into ``BLOCKS`` blocks of equal tokens. Blocks go to sources one by one by the highest quotient ``share / (2k + 1)``;
-the blocks of a source go to its shards in the same way by the shards' tokens, never past what a shard can give.
+cut into equal-token blocks: at least ``BLOCKS``, and so many that a block is at most one ``BLOCKS_A_SHARD``-th of what
+the average shard of any source has to give, however many shards there are. Blocks go to sources one by one by the
+highest quotient ``share / (2k + 1)``; the blocks of a source go to its shards in the same way by the shards' tokens. What
+a block holds beyond what a shard can give is handed on to shards with tokens left, so no token of a quota is lost.
 Within a shard the documents lie in a seeded order, and its quota is met by whole passes over the shard and one partial
 pass that takes, in that order, every document that still fits the quota.
 
 A shard holds about ``SHARD_DOCS`` documents of one source, so a source with a third of all rows is many shards. Only
-token totals by (source, shard) come to the driver, at most ``MAX_SHARDS`` a source whatever the table.
+token totals by (source, shard) come to the driver, at most ``MAX_SHARDS`` a source whatever the table; beyond
+``SHARD_DOCS * MAX_SHARDS`` (1.3 thousand million) documents of one source its shards grow, by sizes alone, not texts.
 
 Defined results: documents without tokens are never used; a source without any cannot give a share and is left out, the
 others keep their proportions, and its reached share is 0; sources compare without case and outer spaces; a null target
@@ -19,30 +22,65 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCKS = 20_000
+BLOCKS_A_SHARD = 16
 SHARD_DOCS = 20_000
-MAX_SHARDS = 4_096
+MAX_SHARDS = 65_536
 MAX_TARGETS = 10_000
 
 
 def sainte_lague(weights: Sequence[float], seats: int, most: Sequence[int] | None = None) -> list[int]:
-    """Seats by highest quotients w / (2k + 1); ties go to the first. ``most`` bounds each."""
-    got = [0] * len(weights)
-    heap = [(-w, i) for i, w in enumerate(weights) if w > 0 and (most is None or most[i] > 0)]
+    """Seats by highest quotients w / (2k + 1); ties go to the first. ``most`` bounds each.
+
+    A divisor d gives w / d, rounded, to each; that is what the quotients above d / 2 give, so a divisor that gives nearly
+    all seats is found by bisection and only the last few seats go out one by one.
+    """
+    w = np.array(weights, "float64").clip(min=0)
+    bound = np.array(most, "float64") if most is not None else np.full(len(w), np.inf)
+    if not len(w) or not w.any() or seats <= 0:
+        return [0] * len(w)
+    given = lambda d: np.minimum(np.floor(w / d + 0.5), bound)
+    low, high = w[w > 0].min() / (seats + 1), 2 * w.max() + w.sum()
+    if given(low).sum() > seats:
+        for _ in range(200):
+            d = (low * high) ** 0.5
+            low, high = (d, high) if given(d).sum() > seats else (low, d)
+            if high <= low * (1 + 1e-15):
+                break
+        got = given(high)
+    else:
+        got = given(low)
+    heap = [(-w[i] / (2 * got[i] + 1), i) for i in range(len(w)) if w[i] > 0 and got[i] < bound[i]]
     heapq.heapify(heap)
-    for _ in range(seats):
+    for _ in range(seats - int(got.sum())):
         if not heap:
             break
         _, i = heapq.heappop(heap)
         got[i] += 1
-        if most is None or got[i] < most[i]:
-            heapq.heappush(heap, (-weights[i] / (2 * got[i] + 1), i))
-    return got
+        if got[i] < bound[i]:
+            heapq.heappush(heap, (-w[i] / (2 * got[i] + 1), i))
+    return [int(x) for x in got]
+
+
+def shard_quotas(tokens: Sequence[int], repeats: int, seats: int, block: float) -> list[int]:
+    """Tokens each shard of a source gives: its blocks, less what it has not, which goes to shards with tokens left."""
+    offer = [t * repeats for t in tokens]
+    blocks = sainte_lague(tokens, seats, [int(o / block) + 1 for o in offer])
+    quota = [min(round(k * block), o) for k, o in zip(blocks, offer, strict=True)]
+    missing = min(round(seats * block), sum(offer)) - sum(quota)
+    for i, o in enumerate(offer):
+        if missing <= 0:
+            break
+        more = min(missing, o - quota[i])
+        quota[i] += more
+        missing -= more
+    return quota
 
 
 def _key(column: str):
@@ -98,13 +136,14 @@ def mix(sizes: DataFrame, targets: DataFrame, *, seed: int = 7, blocks: int = BL
         of = {r.source: totals[r.source.strip().lower()] for r in rows}
         share = sum(r.target_share for r in rows)
         total = min(sum(of[r.source].values()) * r.max_repeats * share / r.target_share for r in rows)
-        block = max(1.0, total / blocks)
+        least = min(sum(of[r.source].values()) * r.max_repeats / len(of[r.source]) for r in rows)
+        block = max(1.0, min(total / blocks, least / BLOCKS_A_SHARD))
         for r, seats in zip(rows, sainte_lague([r.target_share for r in rows], int(total / block)), strict=True):
             parts = sorted(of[r.source].items())
-            most = [int(t * r.max_repeats / block) + 1 for _, t in parts]
-            for (shard, t), k in zip(parts, sainte_lague([t for _, t in parts], seats, most), strict=True):
-                quota = min(round(k * block), t * r.max_repeats)
-                quotas.append((name, r.source, r.source.strip().lower(), shard, quota // t, quota % t, int(r.max_repeats)))
+            tokens = [t for _, t in parts]
+            for (shard, t), quota in zip(parts, shard_quotas(tokens, int(r.max_repeats), seats, block), strict=True):
+                if quota:
+                    quotas.append((name, r.source, r.source.strip().lower(), shard, quota // t, quota % t, int(r.max_repeats)))
     quota = spark.createDataFrame(quotas, "mix_name string, mix_source string, src string, shard int, passes long, rest long, most int")
     # the quota table has at most targets x MAX_SHARDS small rows; joined, not broadcast by force
     laid = placed.select("id", "src", "shard", "tokens").join(quota, ["src", "shard"])

@@ -69,19 +69,19 @@ def _paper_claims(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _fused(spark: SparkSession, d: str, prior: str) -> DataFrame:
+def _fused(spark: SparkSession, d: str, strength: float | None) -> DataFrame:
     claims = materialise(_paper_claims(spark, d), "paper-claims")
-    return fusion.fuse(claims, ["size", "trust", "fetched_at", "smallest"], prior=prior).withColumnRenamed("record_id", "paper_id")
+    return fusion.fuse(claims, ["size", "trust", "fetched_at", "smallest"], strength=strength).withColumnRenamed("record_id", "paper_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """The surviving record of each group and field: fusion under the stated, strict order of preference."""
-    return _fused(spark, d, "strict").drop("posterior")
+    """The surviving record of each group and field: maximum posterior, with the stated order of preference as the prior."""
+    return _fused(spark, d, None).drop("posterior")
 
 
 def p4_fused(spark: SparkSession, d: str) -> DataFrame:
     """The same with a flat prior: the votes of the sources, discounted for copying, decide."""
-    return _fused(spark, d, "votes")
+    return _fused(spark, d, 0.0)
 
 
 def _near_papers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -1,9 +1,11 @@
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from litquarry.llm.mixing import mix, sainte_lague
+from litquarry.llm.mixing import mix, sainte_lague, shard_quotas
 from litquarry.llm.packing import pack, pack_table
 from litquarry.session import materialise
 
@@ -80,3 +82,41 @@ def test_mix_of_nothing(spark):
     targets = spark.createDataFrame([("m", "a", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
     chosen, report = mix(docs(spark, []), targets)
     assert chosen.count() == 0 and report.first().share_reached == 0
+
+
+def one_by_one(weights, seats, most):
+    got = [0] * len(weights)
+    for _ in range(seats):
+        free = [i for i in range(len(weights)) if got[i] < most[i] and weights[i] > 0]
+        if not free:
+            break
+        got[min(free, key=lambda i: (-weights[i] / (2 * got[i] + 1), i))] += 1
+    return got
+
+
+def test_sainte_lague_is_that_of_single_seats():
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randint(1, 8)
+        weights, most = [rng.choice((0, 1, 3, 7, 50, rng.random())) for _ in range(n)], [rng.randint(0, 30) for _ in range(n)]
+        seats = rng.randint(0, 80)
+        assert sainte_lague(weights, seats, most) == one_by_one(weights, seats, most)
+
+
+@pytest.mark.parametrize("repeats", [1, 4])
+def test_quotas_of_more_shards_than_blocks(repeats):
+    tokens = [1_000 + i % 7 for i in range(4_096)]
+    for block in (700.0, 5_000.0, 1e6):
+        seats = int(sum(tokens) * repeats * 0.9 / block)
+        quota = shard_quotas(tokens, repeats, seats, block)
+        assert sum(quota) == round(seats * block) and all(q <= t * repeats for q, t in zip(quota, tokens))
+
+
+def test_mix_with_more_shards_than_blocks(spark):
+    rows = [(i, "abc"[i % 3], 20 + i * 31 % 50) for i in range(30_000)]
+    targets = spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.3, 2), ("m", "c", 0.2, 4), ("n", "a", 0.5, 1), ("n", "b", 0.5, 4)],
+                                    "mix_name string, source string, target_share double, max_repeats int")
+    chosen, report = mix(docs(spark, rows), targets, shard_docs=500, blocks=10)  # 20 shards of a source
+    got = report.collect()
+    assert all(r.share_reached == pytest.approx(r.target_share, abs=0.001) and r.most_uses <= r.max_repeats for r in got)
+    assert sum(r.tokens_used for r in got if r.mix_name == "m") > 0.97 * 2 * sum(t for _, s, t in rows if s == "a")
