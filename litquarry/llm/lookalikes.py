@@ -4,12 +4,16 @@
    all spaces to the space, hyphens of other kinds to the hyphen, line ends to the line feed. Characters without
    visible form go. Case, accents, punctuation, digits and raised or lowered digits stay as they are. The table is
    derived from the Unicode character database by rule, not listed.
-2. Letters are decomposed, and each token's *resolved script set* is the intersection of the script sets of its letters;
-   a look-alike letter counts for every script that has the same shape. An empty plain intersection is a mixed-script
-   token; a token all of whose letters have look-alikes in another script is a whole-script confusable.
-3. A token is spelled in one script: the one its letters without look-alikes belong to; where it has none, or they
-   belong to several, the script most letters without look-alikes of the whole text belong to (Latin on a tie). Both
-   are the same for texts that look the same, so equal looks give equal forms, and a Russian text keeps its Cyrillic.
+2. Letters are decomposed. Letters of one shape in several scripts come from the Unicode confusables data
+   (:mod:`litquarry.llm.confusables`). Each token's *resolved script set* is the intersection, over its letters, of the
+   scripts that can spell the letter: for a letter with look-alikes those that have its shape, for others its script
+   extensions. A token whose plain script extensions do not intersect is a mixed-script token; one in a single script that
+   another script can spell whole is a whole-script confusable.
+3. A token with a resolved script is spelled in it: in the main script of the text, if that is in the set, else in the
+   first of the set by the text's letters. The main script is the one most letters without look-alikes of the whole text
+   belong to (Latin on a tie). A token without a resolved script is spelled in the script of most of its letters without
+   look-alikes, or the main one. All of that depends on shapes alone, so texts that look the same get equal forms, and
+   a Russian text keeps its Cyrillic.
 4. The result is composed again (NFC).
 
 Defined results: null gives null; a text without visible characters gives '' and equals no other text; white space is
@@ -18,8 +22,10 @@ kept in number; texts are used whole.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -29,29 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters that have the shape of the Latin letter before them.
-CYRILLIC_SHAPES = "aа cс eе hһ iі jј oо pр qԛ sѕ wԝ xх yу dԁ lӏ AА BВ CС EЕ HН IІ JЈ KК MМ OО PР QԚ SЅ TТ WԜ XХ YҮ"
-GREEK_SHAPES = "oο vν jϳ cϲ CϹ AΑ BΒ EΕ ZΖ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ YΥ XΧ"
-
-SCRIPTS = ("Latin", "Cyrillic", "Greek")
-#: shape (its Latin letter) -> spelling in each script that has it
-SHAPES: dict[str, dict[str, str]] = {}
-for _script, _pairs in (("Cyrillic", CYRILLIC_SHAPES), ("Greek", GREEK_SHAPES)):
-    for _latin, _other in _pairs.split():
-        SHAPES.setdefault(_latin, {"Latin": _latin})[_script] = _other
-SHAPE_OF = {c: shape for shape, spelled in SHAPES.items() for c in spelled.values()}
+from litquarry.llm.confusables import SCRIPTS, classes, script_set
 
 #: decompositions that change only the kind, width or joining of letters
 FOLDED_TAGS = {"<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
 _IGNORABLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}]|(?![\t\n\r\f\v\x85])\p{Cc}")
-_BLOCKS = {"Cyrillic": "\u0400-\u052f\u1c80-\u1c8f\u2de0-\u2dff\ua640-\ua69f", "Greek": "\u0370-\u03ff\u1f00-\u1fff", "Latin": "A-Za-z"}
-_OTHER_SCRIPT = re.compile(f"[{_BLOCKS['Cyrillic']}{_BLOCKS['Greek']}]")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-_FIRM = {s: re.compile("[" + "".join(c for c in map(chr, range(0x41, 0xA6A0)) if re.match(f"[{block}]", c) and c not in SHAPE_OF) + "]+")
-         for s, block in _BLOCKS.items()}
 _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 _ASCII_IGNORABLE = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
-_SCRIPT_OF = {s: regex.compile(rf"\p{{Script_Extensions={s}}}") for s in SCRIPTS}
 
 
 def _fold_table() -> dict[int, str | None]:
@@ -105,28 +96,67 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
-def _script(c: str) -> str | None:
-    return next((s for s in SCRIPTS if _SCRIPT_OF[s].match(c)), None)
+class Shapes:
+    """The table of shapes in the form the speller reads; built once a worker."""
+
+    def __init__(self, classes: list[tuple[str, dict[int, str]]]):
+        self.of: dict[str, int] = {}  # letter -> its shape
+        self.spelled: list[dict[int, str]] = []
+        self.scripts: list[int] = []  # scripts that can spell the shape, as bits
+        for letters, spelled in classes:
+            for c in letters:
+                self.of[c] = len(self.spelled)
+            self.spelled.append(spelled)
+            self.scripts.append(sum(1 << k for k in spelled))
+        self._plain: dict[str, int] = {}
+        self._weight: dict[str, int | None] = {}
+        # what can change a text: letters of another script than Latin, and those that are not their shape's Latin spelling
+        blocks = "\u0370-\u052f\u0531-\u0587\u13a0-\u13fd\u1c80-\u1c8f\u1f00-\u1fff\u2c80-\u2cff\u2de0-\u2dff\ua4d0-\ua4f7\ua640-\ua69f\uab70-\uabbf"
+        other = "".join(re.escape(c) for c, k in self.of.items() if self.spelled[k].get(0) != c and c <= "\uffff")
+        self.trigger = re.compile(f"[{blocks}{other}]")
+
+    def plain(self, c: str) -> int:
+        """Script extensions of a letter as bits; all bits for what is no letter or of no script here."""
+        if c not in self._plain:
+            self._plain[c] = (script_set(c) or ALL) if c.isalpha() else ALL
+        return self._plain[c]
+
+    def resolved(self, c: str) -> int:
+        """Scripts that can spell what the letter looks like."""
+        k = self.of.get(c)
+        return self.plain(c) if k is None else self.scripts[k]
 
+    def firm(self, c: str) -> int | None:
+        """The script of a letter without look-alikes, if it has just one."""
+        if c not in self._weight:
+            bits = self.plain(c) if c.isalpha() and c not in self.of else ALL
+            self._weight[c] = bits.bit_length() - 1 if bits & (bits - 1) == 0 else None
+        return self._weight[c]
 
-_SCRIPTS: dict[str, str | None] = {}
+    def spell(self, c: str, script: int) -> str:
+        k = self.of.get(c)
+        if k is None:
+            return c
+        spelled = self.spelled[k]
+        return spelled[script] if script in spelled else spelled[min(spelled)]
 
 
-def script_of(c: str) -> str | None:
-    """Latin, Cyrillic or Greek, or None; remembered by character."""
-    if c not in _SCRIPTS:
-        _SCRIPTS[c] = _script(c) if c.isalpha() else None
-    return _SCRIPTS[c]
+ALL = (1 << len(SCRIPTS)) - 1
+
+
+@functools.lru_cache(maxsize=1)
+def shapes() -> Shapes:
+    return Shapes(classes())
 
 
 def _in_token(c: str) -> bool:
     return c.isalnum() or unicodedata.category(c)[0] == "M"
 
 
-def _respell_around(text: str, spell: Callable[[str], str]) -> str:
-    """``spell`` applied to the tokens that hold a Cyrillic or Greek letter."""
+def _respell_around(text: str, trigger: re.Pattern, spell: Callable[[str], str]) -> str:
+    """``spell`` applied to the tokens that hold a character of ``trigger``."""
     out, at = [], 0
-    for m in _OTHER_SCRIPT.finditer(text):
+    for m in trigger.finditer(text):
         if m.start() < at:
             continue
         start, end = m.start(), m.end()
@@ -139,33 +169,43 @@ def _respell_around(text: str, spell: Callable[[str], str]) -> str:
     return "".join([*out, text[at:]])
 
 
-def canonical(text: str) -> tuple[str, int, int]:
+def canonical(text: str, table: Shapes | None = None) -> tuple[str, int, int]:
     """(consistent form, mixed-script tokens, whole-script confusable tokens respelled)."""
+    table = table or shapes()
     text = fold(text)
-    if not _OTHER_SCRIPT.search(text):
+    if text.isascii() or not table.trigger.search(text):
         return text, 0, 0
     plain = unicodedata.normalize("NFD", text)
-    weight = {s: len(plain) - len(firm.sub("", plain)) for s, firm in _FIRM.items()}
-    main = max(SCRIPTS, key=lambda s: weight[s])
+    weight: Counter[int] = Counter()
+    for c, n in Counter(plain).items():
+        if (script := table.firm(c)) is not None:
+            weight[script] += n
+    ranked = sorted(range(len(SCRIPTS)), key=lambda k: (-weight[k], k))
+    main = ranked[0]
     mixed = whole = 0
 
     def spell(token: str) -> str:
         nonlocal mixed, whole
-        look = [c for c in token if c in SHAPE_OF]
-        if not look:
+        if not any(c in table.of for c in token):
             return token
-        fixed = {s for c in set(token) if c not in SHAPE_OF and (s := script_of(c))}
-        target = next(iter(fixed)) if len(fixed) == 1 else main
-        scripts = {script_of(c) for c in look} | fixed
-        spelled = "".join(SHAPES[SHAPE_OF[c]].get(target, SHAPES[SHAPE_OF[c]]["Latin"]) if c in SHAPE_OF else c for c in token)
-        if len(scripts) > 1:
+        own = resolved = ALL
+        for c in token:
+            own &= table.plain(c)
+            resolved &= table.resolved(c)
+        if resolved:
+            script = next(k for k in ranked if resolved >> k & 1)
+        else:
+            firm = Counter(k for c in token if (k := table.firm(c)) is not None)
+            script = max(firm, key=lambda k: (firm[k], k == main, -k), default=main)
+        spelled = "".join(table.spell(c, script) for c in token)
+        if not own:
             mixed += 1
         elif spelled != token:
             whole += 1
         return spelled
 
-    if main == "Latin":  # there a token without letters of another script is already consistent
-        spelled = _respell_around(plain, spell)
+    if main == 0:  # there a token without letters of another script is already consistent
+        spelled = _respell_around(plain, table.trigger, spell)
     else:
         spelled = _TOKEN.sub(lambda m: spell(m[0]), plain)
     return unicodedata.normalize("NFC", spelled), mixed, whole
@@ -178,10 +218,13 @@ KEYS = T.StructType([T.StructField(c, T.LongType()) for c in ("f1", "f2", "r1",
 def consistent(text: Column) -> Column:
     """struct(form, mixed_tokens, whole_tokens) of a text column."""
 
+    known = classes()  # read on the driver; workers need no jar
+
     @F.pandas_udf(FORM)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table = Shapes(known)
         for texts in batches:
-            yield pd.DataFrame([(None, 0, 0) if t is None else canonical(t) for t in texts], columns=FORM.names)
+            yield pd.DataFrame([(None, 0, 0) if t is None else canonical(t, table) for t in texts], columns=FORM.names)
 
     return run(text)
 
@@ -194,12 +237,15 @@ def _name(text: str) -> tuple[int, int]:
 def form_keys(text: Column) -> Column:
     """128-bit names of the consistent form and of the text as stored: what grouping needs, without moving any text."""
 
+    known = classes()
+
     @F.pandas_udf(KEYS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table = Shapes(known)
         for texts in batches:
             rows = []
             for t in texts:
-                form = canonical(t)[0] if t else ""
+                form = canonical(t, table)[0] if t else ""
                 rows.append((*_name(form), *_name(t or ""), bool(form)))
             yield pd.DataFrame(rows, columns=KEYS.names)
 
@@ -224,3 +270,13 @@ def same_look_pairs(members: DataFrame) -> DataFrame:
     right = members.select("form", F.col("stored").alias("sb"), F.col("id").alias("y"))
     both = pairs.join(left, ["form", "sa"]).join(right, ["form", "sb"])
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def look_classes(members: DataFrame) -> DataFrame:
+    """(id, class_id, n_stored): every document with the least id of its form and the number of texts the form is stored as.
+
+    One row a document, whatever the size of a class.
+    """
+    texts = members.groupBy("form", "stored").agg(F.min("id").alias("least"))
+    by_form = texts.groupBy("form").agg(F.min("least").alias("class_id"), F.count("*").alias("n_stored"))
+    return members.select("id", "form").join(by_form, "form").select("id", "class_id", "n_stored")

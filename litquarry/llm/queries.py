@@ -148,10 +148,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_token_sizes(spark, d), load(spark, d, "mix_targets"))[1]
 
 
+def _stored_forms(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(lookalikes.stored_forms(spread(load(spark, d, "documents", "doc_id", "text")), "doc_id", "text"), "forms")
+
+
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the class of those that look the same, and the number of texts the class is stored as."""
+    return lookalikes.look_classes(_stored_forms(spark, d)).withColumnRenamed("id", "doc_id")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that look the same and are stored differently."""
-    members = materialise(lookalikes.stored_forms(spread(load(spark, d, "documents", "doc_id", "text")), "doc_id", "text"), "forms")
-    return lookalikes.same_look_pairs(members).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+    return lookalikes.same_look_pairs(_stored_forms(spark, d)).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p10_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +170,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_matches, p3_found, p4_found, p4_fused, p5_found, p5_classes, p6_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_forms)}
+    return {f.__name__: f for f in (p2_found, p2_matches, p3_found, p4_found, p4_fused, p5_found, p5_classes, p6_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_classes, p10_forms)}
 
 
 __all__ = ["oracle_sql", "queries"]
