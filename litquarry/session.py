@@ -65,6 +65,12 @@ def table_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete a path when the driver's JVM ends, however Python ends before it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table this session has materialised. For long sessions, once the results read from them are stored."""
     while _WRITTEN:
@@ -72,20 +78,18 @@ def release(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage with a written table in the shared folder.
+    """Cut lineage with a written table in the shared folder, deleted at the latest when the driver ends.
 
     Parquet rather than ``checkpoint()``: columnar and compressed, so smaller on disk and prunable when read back.
-    The files outlive any executor. Once the table is written, the shuffle files behind it serve nothing, so Spark is
-    told to remove them with the write.
+    The files outlive any executor. Once a query has ended, its shuffle files serve nothing, so the session is told, once
+    and for all its queries alike, to remove them then.
     """
     spark = df.sparkSession
+    if spark.conf.get(CLEANUP_KEY, None) is None or spark.conf.get(CLEANUP_KEY) != "true":
+        spark.conf.set(CLEANUP_KEY, "true")
     path = table_path(spark, label)
-    before = spark.conf.get(CLEANUP_KEY, None)
-    spark.conf.set(CLEANUP_KEY, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP_KEY, before) if before is not None else spark.conf.unset(CLEANUP_KEY)
+    df.write.parquet(path)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
