@@ -11,25 +11,31 @@ cells yield is reranked on the full vectors. Frequent words have high ranks and
 (k-means cells were rejected: between sparse titles, distances to a centroid all lie between 0.8 and 1, so with a
 radius of 0.2 the triangle bound excludes no cell and every probe would read the whole history.)
 
-On disk an index is a folder of parquet tables, each only ever appended to:
+On disk an index is a folder of parquet tables, partitioned by batch and by bucket, so that a probe reads only the buckets
+its own keys fall into (a partition filter of the scan) and shuffles none of the history where the batch is small:
 
-* ``vectors``  name (128 bits), n, words - one row per distinct vector and batch
-* ``cells``    cell (w, m and j hashed to 64 bits), name - in ``BUCKETS`` partitions by cell, sorted by cell
-* ``members``  name, id, seq - which records have the vector, and with which batch they came
-* ``keys``     kind, value, id, seq - exact identifiers
+* ``vectors``  name (128 bits), n, words - one row per distinct vector; bucket by name
+* ``members``  name, id, seq - which records have the vector, and with which batch they came; bucket by name
+* ``cells``    cell (w, m and j hashed to 64 bits), name - bucket by cell, sorted by cell
+* ``keys``     kind, value, id, seq - exact identifiers; bucket by value
 * ``order``    the ``COMMON`` most frequent words of the first history with their frequency; fixed for the life of the
   index, since both sides of a probe must rank axes alike. Other words rank before them.
+* ``done``     an empty file per batch whose tables are complete, named by its tag and the number of buckets
 
-A batch is checked by joining its own vectors with the cells; nothing of the history is parsed or hashed again.
+A batch is probed first and appended then: ``probe`` holds it against what was accepted before, ``append`` adds its records,
+and of its vectors those that are new. Batches have a tag. An append that stopped half way left no file in ``done``; its
+files are not read and the next attempt replaces them, and a tag that is done is not appended again: a retried batch is
+stored once. Nothing of the history is parsed or hashed again.
 
 Defined results: null, empty and short texts (fewer than ``min_words`` distinct words) have no vector and match only by
 identifier; placeholders are no identifiers; records of one batch are not held against each other; a row without a
-batch number matches nothing; repeated rows give one pair per pair of ids; an empty batch gives no pairs.
+batch number (null seq) matches nothing; repeated rows give one pair per pair of ids; an empty batch gives no pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -37,10 +43,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litquarry.llm.words import WordHashes, distinct_words, mix, set_sums
-from litquarry.session import materialise, table_path
+from litquarry.session import delete_on_exit, materialise, table_path
 
 COMMON = 65_536
-BUCKETS = 32
+BUCKET_VECTORS = 50_000
+LEAST_BUCKETS, MOST_BUCKETS = 8, 4_096
 NAME = ["k1", "k2"]
 VECTOR = "k1 long, k2 long, n int, words array<long>"
 
@@ -127,31 +134,68 @@ def _probe_cells(threshold: float, words: np.ndarray, frequency: np.ndarray):
     return probe
 
 
+#: A batch as :meth:`CellIndex.prepare` leaves it.
+Prepared = tuple[DataFrame, DataFrame, DataFrame | None]
+TABLES = {"vectors": VECTOR, "members": "k1 long, k2 long, id long, seq int", "cells": "cell long, k1 long, k2 long",
+          "keys": "kind string, value string, id long, seq int"}
+
+
+def _buckets_for(vectors: int) -> int:
+    """Buckets of a history: about BUCKET_VECTORS vectors each, within bounds that keep files and folders few."""
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, vectors // BUCKET_VECTORS).bit_length()))
+
+
 class CellIndex:
-    """An index in a shared folder. ``create`` it from a first history, ``append`` accepted batches, ``probe`` new ones."""
+    """An index in a shared folder. ``create`` it from a first history; ``probe`` each new batch, then ``append`` it."""
 
     def __init__(self, spark: SparkSession, path: str, threshold: float = 0.8, min_words: int = 6):
         self.spark, self.path, self.threshold, self.min_words = spark, path, threshold, min_words
         self._order: tuple[np.ndarray, np.ndarray] | None = None
+        self._done: dict[str, int] | None = None
 
     @classmethod
     def create(cls, history: DataFrame, path: str | None = None, **options) -> CellIndex:
-        """``history``: id, seq, text and any number of identifier columns (see :meth:`append`)."""
+        """``history``: id, seq, text and any number of identifier columns already in comparable form (null: none)."""
         spark = history.sparkSession
         index = cls(spark, path or table_path(spark, "cells"), **options)
-        index.append(history, first=True)
+        index.append(history, "history")
+        if path is None:
+            delete_on_exit(spark, index.path)
         return index
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+    def _files(self):
+        """(file system, folder of the marks of complete batches)."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done")
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
+
+    def done(self) -> dict[str, int]:
+        """Tags of the complete batches, with the number of buckets."""
+        if self._done is None:
+            fs, folder = self._files()
+            names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+            self._done = {tag: int(n) for tag, _, n in (name.rpartition(".") for name in sorted(names))}
+        return self._done
+
+    @property
+    def buckets(self) -> int:
+        return next(iter(self.done().values()))
+
+    def _table(self, name: str, buckets: DataFrame | None = None) -> DataFrame:
+        """A table of the complete batches; only the listed buckets (one column, at most MOST_BUCKETS rows)."""
+        whole = self.spark.read.schema(f"{TABLES[name]}, batch string, bucket int").option("basePath", f"{self.path}/{name}")
+        tags = sorted(self.done())
+        table = whole.parquet(*(f"{self.path}/{name}/batch={t}" for t in tags)).filter(F.col("batch").isin(tags))
+        if buckets is not None:
+            table = table.filter(F.col("bucket").isin([r[0] for r in buckets.distinct().collect()]))
+        return table.drop("batch")
 
     def _vectors(self, rows: DataFrame) -> DataFrame:
-        return rows.select("id", "seq", "text").mapInPandas(_vectorise(self.min_words), f"id long, seq int, {VECTOR}")
+        return rows.filter("seq IS NOT NULL").select("id", "seq", "text").mapInPandas(_vectorise(self.min_words), f"id long, seq int, {VECTOR}")
 
     def order(self) -> tuple[np.ndarray, np.ndarray]:
         """The fixed order: at most COMMON words, so bounded whatever the history."""
         if self._order is None:
-            rows = self._table("order").orderBy("word").toPandas()
+            rows = self.spark.read.schema("word long, df long").parquet(f"{self.path}/order").orderBy("word").toPandas()
             self._order = rows["word"].to_numpy("int64"), rows["df"].to_numpy("int64")
         return self._order
 
@@ -161,60 +205,89 @@ class CellIndex:
     def _probes(self, vectors: DataFrame) -> DataFrame:
         return vectors.select(*NAME, "n", "words").mapInPandas(_probe_cells(self.threshold, *self.order()), "cell long, q1 long, q2 long")
 
-    def append(self, rows: DataFrame, first: bool = False) -> None:
-        """Add a batch: id, seq, text, and identifier columns already in comparable form (null where there is none)."""
-        kinds = [c for c in rows.columns if c not in ("id", "seq", "text")]
+    def _write(self, rows: DataFrame, name: str, tag: str, buckets: int) -> None:
+        by = {"cells": F.col("cell"), "keys": F.xxhash64("kind", "value")}.get(name, F.col("k1"))
+        placed = rows.withColumn("bucket", F.pmod(by, F.lit(buckets)).cast("int"))
+        spread = placed.repartition("bucket") if tag != "history" else placed.repartition("bucket", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(8)))
+        spread.sortWithinPartitions("bucket", rows.columns[0]).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/batch={tag}")
+
+    def prepare(self, rows: DataFrame) -> Prepared:
+        """(records with their vectors, distinct vectors, identifiers) of a batch, written once for probe and append.
+
+        Needs nothing of the index: batches may be prepared while others are appended.
+        """
         vectors = materialise(self._vectors(rows), "vectors")
-        vectors.select(*NAME, "id", "seq").write.mode("append").parquet(f"{self.path}/members")
         # copies are one vector: the sums of a set's hashes name it, and the first of equal rows is any of them
-        one = vectors.groupBy(*NAME).agg(F.first("n").alias("n"), F.first("words").alias("words"))
-        one.write.mode("append").parquet(f"{self.path}/vectors")
-        if first:
-            df = self._table("vectors").select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-            df.orderBy(F.desc("df"), "word").limit(COMMON).write.mode("overwrite").parquet(f"{self.path}/order")
-            filed = self._table("vectors")
+        one = materialise(vectors.groupBy(*NAME).agg(F.first("n").alias("n"), F.first("words").alias("words")), "distinct-vectors")
+        kinds = [c for c in rows.columns if c not in ("id", "seq", "text")]
+        if not kinds:
+            return vectors, one, None
+        each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in kinds)))
+        keys = rows.filter("seq IS NOT NULL").select("id", "seq", each.alias("k")).filter("k.value IS NOT NULL")
+        return vectors, one, materialise(keys.select("k.kind", "k.value", "id", "seq"), "keys")
+
+    def append(self, rows: DataFrame, tag: str) -> None:
+        """Add a batch: id, seq, text, and identifier columns already in comparable form (null where there is none)."""
+        if tag not in self.done():
+            self._append(*self.prepare(rows), tag)
+
+    def _append(self, vectors: DataFrame, one: DataFrame, keys: DataFrame | None, tag: str) -> None:
+        if self.done():
+            buckets = self.buckets
+            known = self._table("vectors", one.select(F.pmod("k1", F.lit(buckets)).cast("int"))).select(*NAME)
+            new = materialise(one.join(known, NAME, "left_anti"), "new-vectors")
         else:
-            filed = one
-        bucket = F.pmod(F.col("cell"), F.lit(BUCKETS)).cast("int")
-        cells = self._cells(filed).withColumn("bucket", bucket)
-        cells.repartition("bucket").sortWithinPartitions("bucket", "cell").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/cells")
-        if kinds:
-            each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in kinds)))
-            keys = rows.select("id", "seq", each.alias("k")).filter("k.value IS NOT NULL").select("k.kind", "k.value", "id", "seq")
-            keys.write.mode("append").parquet(f"{self.path}/keys")
-
-    def near_vectors(self, names: DataFrame) -> DataFrame:
-        """(q1, q2, k1, k2): for each named vector, all vectors of the index within the radius, itself included."""
-        mine = self._table("vectors").join(names, NAME, "left_semi").dropDuplicates(NAME)
-        cells = self._table("cells").select("cell", *NAME)
-        seen = materialise(self._probes(mine).join(cells, "cell").drop("cell").distinct(), "probed")
-        vectors = self._table("vectors").dropDuplicates(NAME).select(*NAME, "words")
-        queries = vectors.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("words").alias("own"))
-        ranked = seen.join(queries, ["q1", "q2"]).join(vectors, NAME)
+            buckets, new = _buckets_for(one.count()), one
+            df = one.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+            df.orderBy(F.desc("df"), "word").limit(COMMON).write.mode("overwrite").parquet(f"{self.path}/order")
+        none = vectors.select(F.lit("").alias("kind"), F.lit("").alias("value"), "id", "seq").limit(0)
+        parts = {"vectors": new, "cells": self._cells(new), "members": vectors.select(*NAME, "id", "seq"), "keys": none if keys is None else keys}
+        with ThreadPoolExecutor(len(parts)) as pool:  # four small independent jobs
+            for written in [pool.submit(self._write, rows, name, tag, buckets) for name, rows in parts.items()]:
+                written.result()
+        fs, folder = self._files()
+        fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{tag}.{buckets}"), True).close()  # the batch counts from here on
+        self._done = {**self.done(), tag: buckets}
+
+    def near_vectors(self, one: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(bucket, q1, q2, k1, k2: for each distinct vector of a batch, all vectors of the index within the radius; buckets)."""
+        n = F.lit(self.buckets)
+        probes = materialise(self._probes(one).withColumn("bucket", F.pmod("cell", n).cast("int")), "probes")
+        cells = self._table("cells", probes.select("bucket"))
+        seen = materialise(probes.join(cells, ["bucket", "cell"]).select("q1", "q2", *NAME).distinct().withColumn("bucket", F.pmod("k1", n).cast("int")), "probed")
+        vectors = self._table("vectors", seen.select("bucket")).select("bucket", *NAME, "words")
+        queries = one.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("words").alias("own"))
+        ranked = seen.join(queries, ["q1", "q2"]).join(vectors, ["bucket", *NAME])
         shared = F.size(F.array_intersect("own", "words"))
         union = F.size("own") + F.size("words") - shared
-        return ranked.filter(shared + 1e-9 >= F.lit(self.threshold) * union).select("q1", "q2", *NAME)
-
-    def probe(self, least_seq: int, last_seq: int) -> DataFrame:
-        """(known_id, new_id): records of the appended batches ``least_seq..last_seq`` with what they repeat.
-
-        A record is held against everything with a lower seq, so all batches of the range can be probed in one pass and
-        still each sees only what was accepted before it.
-        """
-        members = self._table("members")
-        new = members.filter(F.col("seq").between(least_seq, last_seq))
-        near = self.near_vectors(new.select(*NAME).distinct())
-        queries = new.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("id").alias("new_id"), F.col("seq").alias("new_seq"))
-        by_text = near.join(queries, ["q1", "q2"]).join(members, NAME).filter("seq < new_seq").select(F.col("id").alias("known_id"), "new_id")
-        try:
-            keys = self._table("keys")
-        except Exception as e:  # an index without identifier columns has no such table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return by_text.distinct()
-        new_keys = keys.filter(F.col("seq").between(least_seq, last_seq)).select("kind", "value", F.col("id").alias("new_id"), F.col("seq").alias("new_seq"))
-        by_key = keys.join(new_keys, ["kind", "value"]).filter("seq < new_seq").select(F.col("id").alias("known_id"), "new_id")
-        return by_text.unionAll(by_key).distinct()
+        return ranked.filter(shared + 1e-9 >= F.lit(self.threshold) * union).select("bucket", "q1", "q2", *NAME), seen.select("bucket")
+
+    def probe(self, rows: DataFrame) -> DataFrame:
+        """(known_id, new_id): the records of a batch (id, seq, text, identifiers) with what they repeat in the index."""
+        return self._probe(*self.prepare(rows))
+
+    def _probe(self, vectors: DataFrame, one: DataFrame, keys: DataFrame | None) -> DataFrame:
+        if not self.done():
+            return vectors.select(F.col("id").alias("known_id"), F.col("id").alias("new_id")).limit(0)
+        n = F.lit(self.buckets)
+        near, own = self.near_vectors(one)
+        members = self._table("members", own)
+        queries = vectors.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("id").alias("new_id"), F.col("seq").alias("new_seq"))
+        found = near.join(queries, ["q1", "q2"]).join(members, ["bucket", *NAME]).filter("seq < new_seq").select(F.col("id").alias("known_id"), "new_id")
+        if keys is not None:
+            asked = keys.select("kind", "value", F.col("id").alias("new_id"), F.col("seq").alias("new_seq"), F.pmod(F.xxhash64("kind", "value"), n).cast("int").alias("bucket"))
+            known = self._table("keys", asked.select("bucket"))
+            by_key = asked.join(known, ["bucket", "kind", "value"]).filter("seq < new_seq").select(F.col("id").alias("known_id"), "new_id")
+            found = found.unionAll(by_key)
+        return found.distinct()
+
+    def probe_and_append(self, rows: DataFrame | Prepared, tag: str) -> DataFrame:
+        """``probe`` of a batch, written to the shared folder, and then ``append``; its texts are read once for both."""
+        batch = rows if isinstance(rows, tuple) else self.prepare(rows)
+        found = materialise(self._probe(*batch), "repeats")
+        if tag not in self.done():
+            self._append(*batch, tag)
+        return found
 
 
 def _ascii_digits(text: Column) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litquarry.llm import cells, components, entities, fusion, lookalikes, minhash, mixing, packing, tokens
 from litquarry.llm.sql import oracle_sql
 from litquarry.operators.timestamps import normalise_dates
-from litquarry.session import load, materialise, spread
+from litquarry.session import delete_on_exit, load, materialise, spread, table_path
 
 WS = r"[\x1c-\x1f\p{IsWhite_Space}]+"
 #: Publication types that only say that none is given.
@@ -112,9 +115,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
         return df.select(F.col(key).alias("id"), seq.cast("int").alias("seq"), F.col("title").alias("text"),
                          cells.doi_key(F.col("doi")).alias("doi"), cells.pmid_key(F.col("pmid")).alias("pmid"))
 
-    index = cells.CellIndex.create(rows("papers", "paper_id", F.lit(0)), threshold=0.8, min_words=6)
-    index.append(rows("incoming", "incoming_id", F.col("batch_no")))
-    return index.probe(1, 2**31 - 1).select("known_id", F.col("new_id").alias("incoming_id"))
+    incoming = rows("incoming", "incoming_id", F.col("batch_no"))
+    # the batches as they arrive: one number each, of which there are few
+    batches = sorted(r[0] for r in incoming.select("seq").filter("seq IS NOT NULL").distinct().collect())
+    index = cells.CellIndex(spark, table_path(spark, "cells"), threshold=0.8, min_words=6)
+    with ThreadPoolExecutor(2) as pool:  # batches are read while the history is filed; each is probed, then appended, in turn
+        ready = [(k, pool.submit(index.prepare, incoming.filter(F.col("seq") == k))) for k in batches]
+        index.append(rows("papers", "paper_id", F.lit(0)), "history")
+        found = [index.probe_and_append(batch.result(), f"batch-{k}") for k, batch in ready]
+    delete_on_exit(spark, index.path)
+    none = incoming.select(F.col("id").alias("known_id"), F.col("id").alias("new_id")).limit(0)
+    return functools.reduce(DataFrame.unionAll, found or [none]).select("known_id", F.col("new_id").alias("incoming_id"))
 
 
 def _token_sizes(spark: SparkSession, d: str) -> DataFrame:

@@ -39,37 +39,59 @@ def brute(data):
     return got
 
 
-def test_exact_against_brute_force_in_one_pass_and_batch_by_batch(spark):
+def test_exact_against_brute_force_batch_by_batch_and_in_one_pass(spark):
     data = rows()
     df = spark.createDataFrame(data, SCHEMA)
     expected = brute(data)
-    index = CellIndex.create(df.filter("seq = 0"))
-    index.append(df.filter("seq > 0 OR seq IS NULL"))
-    assert {tuple(r) for r in index.probe(1, 99).collect()} == expected
     index, got = CellIndex.create(df.filter("seq = 0")), set()
     for k in (1, 2, 3):
-        index.append(df.filter(F.col("seq") == k))
-        got |= {tuple(r) for r in index.probe(k, k).collect()}
+        got |= {tuple(r) for r in index.probe_and_append(df.filter(F.col("seq") == k), f"b{k}").collect()}
     assert got == expected
+    # the index now holds everything: one probe in which each record sees only lower batch numbers
+    assert {tuple(r) for r in index.probe(df.filter("seq > 0 OR seq IS NULL")).collect()} == expected
+
+
+def test_a_reopened_index_and_retried_batches(spark, tmp_path):
+    data = rows(5)
+    df, path = spark.createDataFrame(data, SCHEMA), f"file://{tmp_path}/index"
+    CellIndex.create(df.filter("seq = 0"), path)
+    first = CellIndex(spark, path)
+    first.append(df.filter("seq = 1"), "b1")
+    count = first._table("members").count(), first._table("vectors").count()
+    CellIndex(spark, path).append(df.filter("seq = 1"), "b1")  # the batch comes again
+    again = CellIndex(spark, path)
+    assert (again._table("members").count(), again._table("vectors").count()) == count
+    # an append that stopped before its last step: its files are there, but it does not count, and the retry replaces them
+    df.filter("seq = 2").selectExpr("id k1", "id k2", "id", "seq", "3 bucket").write.partitionBy("bucket").parquet(f"{path}/members/batch=b2")
+    assert CellIndex(spark, path)._table("members").count() == count[0]
+    again.append(df.filter("seq = 2"), "b2")
+    got = {tuple(r) for r in CellIndex(spark, path).probe(df.filter("seq > 0")).collect()}
+    assert got == {p for p in brute(data) if next(s for i, s, *_ in data if i == p[0]) < 3}
+
+
+def test_a_probe_reads_the_buckets_of_its_keys(spark):
+    df = spark.createDataFrame(rows(), SCHEMA)
+    index = CellIndex.create(df.filter("seq = 0"))
+    few = index._table("vectors", spark.createDataFrame([(3,), (5,)], "bucket int"))
+    assert {r[0] for r in few.select("bucket").distinct().collect()} <= {3, 5}
+    assert "PartitionFilters: [" in (plan := few._jdf.queryExecution().toString()) and "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_empty_batch_and_empty_history(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
     index = CellIndex.create(df.filter("seq = 0"))
-    index.append(df.limit(0))
-    assert index.probe(1, 9).count() == 0
+    assert index.probe_and_append(df.limit(0), "empty").count() == 0
     index = CellIndex.create(df.limit(0))
-    index.append(df.filter("seq = 1"))
-    assert index.probe(1, 1).count() == 0
+    assert index.probe_and_append(df.filter("seq = 1"), "b1").count() == 0
+    assert index.probe(df.filter("seq = 2")).count() > 0
 
 
 def test_copies(spark):
     title = "one two three four five six seven"
     df = spark.createDataFrame([(i, 0, title, None) for i in range(300)] + [(1_000, 1, title, None), (1_000, 1, title, None)], SCHEMA)
     index = CellIndex.create(df.filter("seq = 0"))
-    index.append(df.filter("seq = 1"))
-    assert index._table("vectors").filter("n > 0").count() == 2  # one a batch, however many copies
-    assert index.probe(1, 1).count() == 300
+    assert index.probe_and_append(df.filter("seq = 1"), "b1").count() == 300
+    assert index._table("vectors").count() == 1  # however many copies, in however many batches
 
 
 def test_keys(spark):
