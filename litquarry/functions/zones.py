@@ -9,6 +9,7 @@ driver travel with the job; every executor therefore converts with the same vers
 from __future__ import annotations
 
 import functools
+import hashlib
 import zoneinfo
 from datetime import datetime, timedelta, timezone
 from pathlib import Path
@@ -28,8 +29,9 @@ class ZoneTable(NamedTuple):
     abbreviations: dict[str, int]  # latest offset used under each name
 
 
+@functools.lru_cache(maxsize=1)
 def database_version() -> str:
-    """Version of the zone database that ``zoneinfo`` reads on this host."""
+    """Version of the zone database that ``zoneinfo`` reads on this host; where none is stated, a hash of its files."""
     for root in zoneinfo.TZPATH:
         head = Path(root, "tzdata.zi")
         if head.exists():
@@ -39,7 +41,14 @@ def database_version() -> str:
 
         return tzdata.IANA_VERSION
     except ImportError:
-        return "unknown"
+        pass
+    digest = hashlib.sha256()
+    for name in sorted(zoneinfo.available_timezones()):
+        for root in zoneinfo.TZPATH:
+            if (file := Path(root, name)).is_file():
+                digest.update(name.encode() + file.read_bytes())
+                break
+    return f"sha256:{digest.hexdigest()[:16]}"
 
 
 def _state(zone: zoneinfo.ZoneInfo, second: int) -> tuple[int, str]:

@@ -8,11 +8,12 @@ The field is read by a small parsing expression grammar with ordered alternative
     item      <- missing / quoted / bracketed / bare   (in this order)
     missing   <- a text for "missing", up to a separator or the end
     quoted    <- '"' (not '"' / '""')* '"' &(separator / end)
-    bracketed <- '[' bare ']' &(separator / end)
+    bracketed <- '[' (quotedtext / not ('[' / ']' / '"'))* ']' &(separator / end)
     bare      <- one or more characters up to a separator
 
 A quote without its partner, or followed by more text, makes ``quoted`` fail; the parser goes back to the opening
-quote, takes it as ordinary text (``bare``) and flags the value. Commas, ``and`` and ``&`` are *weak* separators: with
+quote, takes it as ordinary text (``bare``) and flags the value. ``bracketed`` fails and goes back in the same way. A value
+in quotes or brackets may hold separators; quotes around the whole of a bracketed value go with the brackets. Commas, ``and`` and ``&`` are *weak* separators: with
 ``weak_separators="fallback"`` they separate only in a field that has no strong separator outside quotes.
 
 Defined results: null, blank and all-missing fields give no values; positions count the non-empty values from 1;
@@ -41,6 +42,7 @@ ITEM = T.StructType([T.StructField("item_pos", T.LongType()), T.StructField("ite
 _SPACE = re.compile(r"\s*")
 _TRAILING_ET_AL = re.compile(r"\s+et al\.?\Z", re.I)
 _QUOTED = re.compile(r'"((?:[^"]|"")*)"')
+_BRACKETED = re.compile(r'\[((?:[^\[\]"]|"(?:[^"]|"")*")*+)\]')
 
 
 class Grammar:
@@ -98,6 +100,19 @@ class Grammar:
         edge = after == len(text) or text[after] == "]" or seps.match(text, after) or seps.match(text, m.end())
         return m.end() if edge else None
 
+    @staticmethod
+    def _bracketed(text: str, at: int, seps: re.Pattern) -> tuple[int, str] | None:
+        """(end, value) of a well-formed bracketed value starting at ``at``: a separator, a bracket or the end must follow."""
+        m = _BRACKETED.match(text, at)
+        if not m:
+            return None
+        after = _SPACE.match(text, m.end()).end()
+        if not (after == len(text) or text[after] == "]" or seps.match(text, after) or seps.match(text, m.end())):
+            return None
+        inner = m[1].strip()
+        whole = _QUOTED.fullmatch(inner)
+        return m.end(), (whole[1].replace('""', '"') if whole else inner).strip()
+
     def _list(self, text: str, seps: re.Pattern) -> list[tuple[str, bool]]:
         body = text.strip()
         if body.startswith("[") and body.endswith("]"):
@@ -126,18 +141,16 @@ class Grammar:
             elif text[at] == '"' and (stop := self._closed(text, at, seps)):
                 out.append((text[at + 1:stop - 1].replace('""', '"').strip(), False))
                 at = stop
+            elif text[at] == "[" and (found := self._bracketed(text, at, seps)):
+                at, value = found
+                out.append((value, False))
             else:
                 m = seps.search(text, at + 1)
                 stop = m.start() if m else end
                 value = _TRAILING_ET_AL.sub("", text[at:stop].strip())
-                if nested and ("[" in value or "]" in value) and not (value.startswith("[") and value.endswith("]")):
+                if nested and ("[" in value or "]" in value):
                     return None
-                bad = '"' in value
-                if value.startswith("[") and value.endswith("]"):
-                    value = value[1:-1].strip()
-                elif ("[" in value) != ("]" in value):
-                    bad = True
-                out.append((value, bad))
+                out.append((value, '"' in value or ("[" in value) != ("]" in value)))
                 at = stop
         return out
 

@@ -33,7 +33,7 @@ MONTH_OF = MONTHS | LONG_MONTHS | {"sept": 9}
 WEEKDAYS = {x for d in "monday tuesday wednesday thursday friday saturday sunday".split() for x in (d, d[:3])} | {
     "tues", "thur", "thurs", "wednes"}
 ZERO_ZONES = {"z": 0, "utc": 0, "gmt": 0, "ut": 0}
-MAX_LEN = 80  # no format is longer; longer texts are prose
+MAX_LEN = 80  # no format is longer once outer and repeated blanks are gone; longer texts are prose and no date
 MAX_ZONES = 700  # the public zone database has about 600 names
 
 # Pieces of the shape grammar. A parser is one of the date shapes, or a date shape, a gap and a clock shape.
@@ -210,9 +210,8 @@ def _late_table(name: str | None, tables: dict[str, ZoneTable]) -> ZoneTable | N
 def normalise_batch(date: pd.Series, tz: pd.Series, order: pd.Series, tables: dict[str, ZoneTable]) -> np.ndarray:
     """Texts for a batch, None where a text is no real date. All array work; the loop is over distinct masks."""
     raw = date.fillna("")
-    raw = raw.where(raw.str.len() <= MAX_LEN, "")
     text = raw.str.normalize("NFKC").str.strip().str.replace(_GAP, " ", regex=True)
-    text = text.where(text.str.contains(_DIGITS), "")
+    text = text.where((text.str.len() <= MAX_LEN) & text.str.contains(_DIGITS), "")
     masks = text.map(shape_mask)
     out = np.full(len(text), None, object)
     tzs, orders = tz.to_numpy(object), order.to_numpy(object)

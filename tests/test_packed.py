@@ -16,6 +16,8 @@ def values(text, grammar=FALLBACK):
     ("A|B || C / D；E\tF\nG", list("ABCDEFG")), ('["Smith, A","Lee"]', ["Smith, A", "Lee"]), ('"Fo ""Lil"" Lee"; "B"', ['Fo "Lil" Lee', "B"]),
     ("Trial, Phase II; Letter", ["Trial, Phase II", "Letter"]), ("Smith A, Lee B, et al.", ["Smith A", "Lee B"]), ("Smith A, Lee B et al", ["Smith A", "Lee B"]),
     ("n/a", []), ("Letter; n/a; -", ["Letter"]), (";;", []), ("", []), (None, []), ("  ", []), ("[Letter; Review]", ["Letter", "Review"]),
+    ("[A; B]; C", ["A; B", "C"]), ("C; [A; B]", ["C", "A; B"]), ("[A]; [B; C]", ["A", "B; C"]), ("[[A; B]; C]", ["A; B", "C"]), ("[A], [B, C]", ["A", "B, C"]),
+    ('["A; B"]; C', ["A; B", "C"]), ('[x "p]q" y]; z', ['x "p]q" y', "z"]), ("[]; A", ["A"]), ("[n/a]; A; B", ["A", "B"]),
 ])
 def test_values(text, expected):
     assert values(text) == expected
@@ -26,6 +28,18 @@ def test_malformed_quotes_are_read_as_text_and_flagged():
     assert [(v, bad) for _, v, bad in FALLBACK.parse('"Smith" MD; Lee')] == [('"Smith" MD', True), ("Lee", False)]
 
 
+def test_malformed_brackets_are_read_as_text():
+    assert [(v, bad) for _, v, bad in FALLBACK.parse("[A; B")] == [("[A", True), ("B", False)]
+    assert [(v, bad) for _, v, bad in FALLBACK.parse("A]; B")] == [("A]", True), ("B", False)]
+    assert [(v, bad) for _, v, bad in FALLBACK.parse("[A] more; B")] == [("[A] more", False), ("B", False)]
+    assert [(v, bad) for _, v, bad in FALLBACK.parse('["A; B]; C')][0][1]
+
+
+@given(st.lists(st.text(st.characters(exclude_characters='\r\n[]"', exclude_categories=["Cs", "Cc"]), min_size=1).map(str.strip).filter(lambda v: v and v.lower() not in FALLBACK.missing), min_size=2, max_size=6))
+def test_bracketed_lists_round_trip(items):
+    assert values("; ".join(f"[{i}]" for i in items)) == items
+
+
 def test_profiles_split_at_everything():
     assert values("a_b, c_and_d & e f and g", ALWAYS) == ["a_b", "c_and_d", "e", "f", "g"]
 

@@ -64,3 +64,8 @@ def test_table(spark):
         ("", ""), ("", "2023"), ("01/02/2024", "2024-02-01"), ("01/02/2024", "2024-02-01"), ("2024-02-30", "2025"), ("n/a", "")]
     assert normalise_dates(df.limit(0), feeds).count() == 0
     assert normalise_dates(df, feeds.limit(0)).filter("date_norm = '2024'").count() == 2
+
+
+def test_outer_blanks_do_not_count_as_length():
+    assert one(" " * 90 + "2024-01-05" + "\n" * 90) == "2024-01-05" and one("2024-01-05" + " prose" * 40) is None
+    assert one("5" + " " * 200 + "May 2024") == "2024-05-05"
