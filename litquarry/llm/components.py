@@ -3,8 +3,9 @@
 1. Links become distinct undirected edges; rows with a null end and self-links drop out.
 2. The likely giant component is peeled: breadth-first search from the highest-degree vertex, one join of the frontier
    with the edges and one anti-join against what was seen per round, then an anti-join takes the component's edges away.
-   A giant component with a long tail would need a round per step; after ``peel_rounds`` the part seen so far is
-   contracted to its smallest vertex instead, which keeps the result exact.
+   The search goes on, however deep, while its frontier holds at least ``PEEL_SHARE`` of all vertices. What is left of a
+   search below that is the tail of a giant, or no giant at all, and would cost a round per step: the part seen is
+   contracted to its smallest vertex instead and step 3 finishes it, which keeps the result exact.
 3. The small components are labelled by minimum propagation in its star form: every vertex sends the least vertex it
    knows to its larger neighbours (large star), then to its smaller ones (small star), until all edges point at the
    least vertex of their component. Paths shrink by a constant factor a round, so long chains need few rounds.
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from litquarry.session import drop_path, materialise
 
-MAX_ROUNDS = 60
+MAX_ROUNDS = 60  # rounds of step 3 grow with the logarithm of a path's length; more are an error, never a wrong result
+PEEL_SHARE = 0.001
 
 
 def _edges(links: DataFrame, left: str, right: str) -> DataFrame:
@@ -49,22 +51,24 @@ def _replace(old: DataFrame | None, new: DataFrame, label: str) -> DataFrame:
     return done
 
 
-def peel_giant(edges: DataFrame, peel_rounds: int) -> tuple[DataFrame, DataFrame]:
+def peel_giant(edges: DataFrame, peel_share: float) -> tuple[DataFrame, DataFrame]:
     """(vertices seen from the highest-degree vertex with their least label, the edges that remain)."""
     both = _both_ways(edges)
-    top = both.groupBy("u").count().orderBy(F.desc("count"), "u").limit(1).collect()
-    if not top:
+    degrees = both.groupBy("u").agg(F.count("*").alias("n"))
+    top = degrees.agg(F.count("*").alias("vertices"), F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).first()
+    if not top.vertices:
         return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).limit(0), edges
-    start = edges.sparkSession.createDataFrame([(top[0].u,)], edges.select("u").schema)
+    start = edges.sparkSession.createDataFrame([(top.u,)], edges.select("u").schema)
     seen = frontier = materialise(start, "frontier")
-    complete = False
-    for _ in range(peel_rounds):
+    size = 1
+    while size:
         reached = both.join(frontier, "u", "left_semi").select(F.col("v").alias("u")).distinct()
         frontier = materialise(reached.join(seen, "u", "left_anti"), "frontier")
-        if frontier.isEmpty():
-            complete = True
-            break
+        size = frontier.count()
         seen = seen.unionAll(frontier)
+        if size < peel_share * top.vertices:
+            break
+    complete = not size
     least = seen.agg(F.min("u")).first()[0]
     component = seen.select(F.col("u").alias("id"), F.lit(least).cast(edges.schema["u"].dataType).alias("label"))
     if complete:
@@ -92,11 +96,11 @@ def _unfinished(edges: DataFrame) -> bool:
 
 
 def connected_groups(
-    links: DataFrame, left: str, right: str, *, id_col: str = "id", group_col: str = "group_id", peel_rounds: int = 4
+    links: DataFrame, left: str, right: str, *, id_col: str = "id", group_col: str = "group_id", peel_share: float = PEEL_SHARE
 ) -> DataFrame:
     """One row (id, group) for every vertex with a link to another; the group is the least id in it."""
     edges = materialise(_edges(links, left, right), "edges")
-    giant, rest = peel_giant(edges, peel_rounds)
+    giant, rest = peel_giant(edges, peel_share)
     stars = _replace(None, rest, "stars")
     for _ in range(MAX_ROUNDS):
         if not _unfinished(stars):

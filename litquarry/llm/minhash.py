@@ -1,14 +1,16 @@
 """Near-duplicate records: MinHash banding on word n-gram sets, every candidate verified on the full sets.
 
 1. One Python pass turns each text into its n-gram set's name (128 bits), ``bands`` band hashes of ``rows`` MinHash
-   values each and a 128-bit one-bit-MinHash sketch. ``rows`` is the largest number for which the allowed bands still
-   reach the target recall at the threshold. More bands are allowed in larger collections (``bands_for``): the recall is
-   the same at every size, but chance collisions grow with the square of the collection and fall with ``rows``.
+   values each and a 128-bit one-bit-MinHash sketch. ``rows`` is the largest number for which ``max_bands`` bands still
+   reach the target recall at the threshold. Both follow from arguments alone, never from the table, so two records are
+   a candidate pair whatever else there is. Chance collisions fall with ``rows``: collections beyond some tens of
+   millions of records should be given 40 to 64 bands.
 2. Records with the same set are one class; only its least id goes on, so a group of exact copies costs one row.
 3. Classes are shuffled on (band, hash) and joined there; the sketch drops nearly all chance collisions inside the
    join. A bucket with more than ``HOT`` classes is not enumerated: its classes leave for an exact prefix-filter join
    (two sets that reach the threshold share one of their ``n - ceil(t n) + 1`` rarest n-grams), so no bucket, however
-   large, is paired up and none is capped.
+   large, is paired up and none is capped. There, sets only meet sets of a similar size, and a list of many sets is
+   split by a salt.
 4. Candidate classes alone are read again, and each pair is verified by the exact Jaccard similarity of its sets.
 
 Defined results: null and empty texts and sets below ``min_size`` match nothing; texts are used whole; identical sets
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 from litquarry.llm.words import WORD, WordHashes, mix, set_sums
 from litquarry.session import materialise
 
-BANDS_BY_SIZE = ((5_000_000, 20), (100_000_000, 40), (math.inf, 64))  # collections below so many records: bands
+MAX_BANDS = 20
 SKETCH_BITS = 128
 HOT = 5_000
+LIST = 2_000  # longer lists of the prefix-filter join are split
 SLOTS, MOST_SLOTS = 1 << 16, 1 << 20
 
 
@@ -51,12 +54,7 @@ class Banding:
         return math.floor(SKETCH_BITS * p - 4.5 * math.sqrt(SKETCH_BITS * p * (1 - p)))
 
 
-def bands_for(records: int) -> int:
-    """Bands allowed for a collection of so many records."""
-    return next(bands for below, bands in BANDS_BY_SIZE if records < below)
-
-
-def choose_banding(threshold: float = 0.8, recall: float = 0.999, max_bands: int = BANDS_BY_SIZE[0][1]) -> Banding:
+def choose_banding(threshold: float = 0.8, recall: float = 0.999, max_bands: int = MAX_BANDS) -> Banding:
     """The most rows (fewest chance collisions) with which at most ``max_bands`` bands reach the recall."""
     best = Banding(threshold, max_bands, 1)
     for rows in range(1, 33):
@@ -149,10 +147,21 @@ def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     counted = gram.join(gram.groupBy("g").agg(F.count("*").alias("df")), "g")
     ordered = counted.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
     length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    keys = ordered.select("id", "n", F.explode(F.slice("o", F.lit(1), length.cast("int"))).alias("p")).select("id", "n", F.col("p.g").alias("g"))
-    a, b = keys.alias("a"), keys.alias("b")
-    fits = (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9) & (F.col("a.id") < F.col("b.id"))
-    return a.join(b, (F.col("a.g") == F.col("b.g")) & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    keys = ordered.select("id", "n", F.posexplode(F.slice("o", F.lit(1), length.cast("int"))).alias("i", "p")).select("id", "n", "i", "p.df", F.col("p.g").alias("g"))
+    # sets that reach the threshold are in the same class of sizes or in neighbouring ones
+    sized = keys.withColumn("size", F.floor(F.log("n") / math.log(1 / threshold) + 1e-9)).withColumn("parts", F.ceil(F.col("df") / LIST).cast("int"))
+    b = sized.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    each = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.array(*(F.struct(k.alias("salt"), (F.col("size") + up).alias("size")) for up in (0, 1))))))
+    a = sized.select("id", "n", "i", "g", each.alias("e")).select("id", "n", "i", "g", "e.*")
+    smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
+    # past the places of the common gram, what is left of both sets must still do
+    needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-9)
+    left = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i"))
+    same = (F.col("a.g") == F.col("b.g")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.salt") == F.col("b.salt"))
+    found = a.alias("a").join(b.alias("b"), same & smaller & (F.col("a.n") >= threshold * F.col("b.n") - 1e-9))
+    # the first common gram in the order bounds the overlap; at later ones the bound is only lower, and one passing is enough
+    found = found.filter(left >= needed)
+    return found.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
 def _gram_sets(texts: DataFrame, n: int) -> DataFrame:
@@ -175,14 +184,14 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicate_classes(
-    texts: DataFrame, *, threshold: float = 0.8, recall: float = 0.999, n: int = 5, min_size: int = 1, hot: int = HOT
+    texts: DataFrame, *, threshold: float = 0.8, recall: float = 0.999, n: int = 5, min_size: int = 1, hot: int = HOT, max_bands: int = MAX_BANDS
 ) -> tuple[DataFrame, DataFrame]:
     """(members: id, class_id; pairs: a, b, similarity between class ids) of a table (id, text).
 
     Every record with a large enough set has one member row; copies are not paired with each other.
     """
     records = texts.count()
-    banding = choose_banding(threshold, recall, bands_for(records))
+    banding = choose_banding(threshold, recall, max_bands)
     signed = materialise(signatures(texts, banding, n=n, min_size=min_size), "signatures")
     # the least id stands for its class: whichever side of the self-join asks, it is the same record
     least = signed.groupBy("k1", "k2").agg(F.min(F.struct("id", "s1", "s2", "bands")).alias("c"))
