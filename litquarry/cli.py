@@ -17,6 +17,7 @@ from litquarry.sources.services import fetch_live
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(description="Literature surveillance run")
+    # The options of the command line and their defaults.
     parser.add_argument("--fixture", help="JSON array of normalised records")
     parser.add_argument("--live", action="store_true", help="read the live services")
     parser.add_argument("--topics", default="config/topics.json")

@@ -71,6 +71,7 @@ class Topics:
 
 @dataclass(frozen=True)
 class Settings:
+    # The title and note of a report without settings.
     title: str = "Daily General Pathology Research Digest"
     note: str = "Research surveillance and education only."
 

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litquarry.functions.text import SPACE, normalize_title
+from litquarry.session import materialise
 
 IDENTIFIERS = ("pmid", "doi", "pmcid")
+HOT = 100_000
 
 
 def _identifier(name: str) -> Column:
@@ -37,11 +39,27 @@ def dedupe_key() -> Column:
     return F.coalesce(*map(_identifier, IDENTIFIERS), F.concat(F.lit("title:"), normalize_title(F.col("title"))))
 
 
+def late_records(papers: DataFrame) -> DataFrame:
+    """``ord`` of the records of which some key occurs earlier.
+
+    Only keys of several records can make one late; those and their first ``ord`` are a written table. A key of more than
+    ``HOT`` records (one title of a third of all rows) would fill one task of the join: there are at most rows / HOT of
+    them, so they are broadcast instead and their records stay where they are.
+    """
+    keyed = papers.select("ord", F.explode(paper_keys()).alias("key"))
+    shared = materialise(keyed.groupBy("key").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1"), "shared-keys")
+    hot = shared.filter(F.col("n") > HOT).select("key", "first")
+    if hot.isEmpty():
+        late = keyed.join(shared.select("key", "first"), "key")
+    else:
+        rest = keyed.join(F.broadcast(hot.select("key")), "key", "left_anti")
+        late = rest.join(shared.filter(F.col("n") <= HOT).select("key", "first"), "key").unionByName(keyed.join(F.broadcast(hot), "key"))
+    return late.filter("first < ord").select("ord").distinct()
+
+
 def mark_duplicates(papers: DataFrame) -> DataFrame:
     """``papers`` with ``is_duplicate`` added."""
-    keyed = papers.select("ord", F.explode(paper_keys()).alias("key"))
-    first = keyed.groupBy("key").agg(F.min("ord").alias("first"))
-    late = keyed.join(first, "key").filter("first < ord").select("ord").distinct().withColumn("late", F.lit(True))
+    late = late_records(papers).withColumn("late", F.lit(True))
     return papers.join(late, "ord", "left").withColumn("is_duplicate", F.coalesce("late", F.lit(False))).drop("late")
 
 

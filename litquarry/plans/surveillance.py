@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litquarry.config import CYTO, DIGITAL, GENERAL, GP, GUIDELINES, LAB, MOLECULAR, QUALITY, SURGICAL, TREATMENT, Profile, Topics
 from litquarry.functions import text
 from litquarry.operators import annotate as notes
 from litquarry.operators import dedupe as dd
 from litquarry.operators import report, score
-from litquarry.plans.pipeline import listed_papers, ranked_scores
+from litquarry.plans.pipeline import listed_papers, ranked_papers, ranked_scores
 from litquarry.plans.vocabulary import TOPICS
 from litquarry.schema import as_papers
 from litquarry.session import load, materialise, spread
 from litquarry.sources import log, payloads
 from litquarry.sources.query_groups import query_groups
 
+PROFILE_IDS = (GENERAL, SURGICAL, MOLECULAR, DIGITAL, CYTO, LAB, QUALITY, TREATMENT, GP, GUIDELINES)
 AS_OF, DAY = "2024-01-15", "2026-01-01"
 
 
@@ -141,7 +143,10 @@ def section_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def qa_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts before the cut, and the duplicates."""
-    scored = score.score(dd.mark_duplicates(papers_view(spark, d)), TOPICS)
+    papers = papers_view(spark, d)
+    late = dd.late_records(papers.select("ord", "title", "doi", "pmid", "pmcid")).withColumn("late", F.lit(True))
+    scored = score.score(papers, TOPICS).select("ord", "decision", "is_preprint", "matched_profiles")
+    scored = scored.join(late, "ord", "left").withColumn("is_duplicate", F.coalesce("late", F.lit(False)))
     kept = F.when(~F.col("is_duplicate"), F.coalesce(report.section(TOPICS.roles), F.lit("unlisted")))
     return scored.select(kept.alias("s"), "is_duplicate").agg(
         F.count("s").alias("scored"), *(F.count_if(F.coalesce(F.col("s") == name, F.lit(False))).alias(name) for name, *_ in report.SECTIONS),
@@ -156,22 +161,25 @@ def daily_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """A log of two days after the second day was run again with the preprints only."""
-    found = score.score(papers_view(spark, d), TOPICS).withColumn("summary", F.lit("")).withColumn("rank", F.col("ord"))
+    """A log of two days of unique, ranked records after the second day was run again with the preprints only."""
+    found = ranked_papers(papers_view(spark, d), TOPICS)[0]
     first = log.log_rows(found, "2025-12-31").unionByName(log.log_rows(found, DAY))
     again = log.replace_day(first, log.log_rows(found.filter("is_preprint"), DAY), DAY)
     return again.groupBy("date_seen", "source", "decision").agg(F.count("*").alias("n"), F.sum("total_score").alias("total"))
 
 
 def log_table(spark: SparkSession, d: str) -> DataFrame:
-    """The same through the partitioned table on disk."""
-    from litquarry.session import table_path
+    """The same through the partitioned table on disk, with the texts and ranks it holds."""
+    from litquarry.session import delete_on_exit, table_path
 
-    found = materialise(score.score(papers_view(spark, d), TOPICS).withColumn("summary", F.lit("")).withColumn("rank", F.col("ord")), "scored")
+    found = materialise(ranked_papers(papers_view(spark, d), TOPICS)[0], "annotated")
     path = table_path(spark, "log")
     for day, rows in (("2025-12-31", found), (DAY, found), (DAY, found.filter("is_preprint"))):
         log.upsert(log.log_rows(rows, day), path, day)
-    return log.read_log(spark, path).groupBy("date_seen", "source", "decision").agg(F.count("*").alias("n"), F.sum("total_score").alias("total"))
+    delete_on_exit(spark, path)
+    return log.read_log(spark, path).groupBy("date_seen", "source", "decision").agg(
+        F.count("*").alias("n"), F.sum("total_score").alias("total"), F.sum(F.length("summary")).alias("summary_chars"),
+        F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank"))
 
 
 def _payload(rows: DataFrame, key: str, body) -> DataFrame:
@@ -203,17 +211,33 @@ def summary_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def article_xml(spark: SparkSession, d: str) -> DataFrame:
-    """Records written as article sets and read back through the table function."""
-    p = load(spark, d, "papers", "paper_id", "title", "abstract", "journal", "pub_year", "pmid", "doi")
+    """Records written as article sets and read back through the table function.
+
+    Every article has a labelled, an unlabelled and an empty part of its abstract, text within markup, authors with and
+    without a first name and a group, two types, a date of its own of which odd records leave out the year, and a cited
+    article's identifier, which counts where the record has none.
+    """
+    p = load(spark, d, "papers", "paper_id", "title", "abstract", "authors", "journal", "pub_year", "pmid", "doi", "pmcid", "source", "category", "batch_no")
     # characters that XML forbids or reserves are written as spaces, on both sides of the comparison
-    safe = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[<>&\x00-\x1f]", " ")
-    node = lambda tag, c: F.concat(F.lit(f"<{tag}>"), safe(F.col(c)), F.lit(f"</{tag.split()[0]}>"))
+    safe = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[<>&\x00-\x1f]", " ")
+
+    def node(tag: str, *parts) -> Column:
+        return F.concat(F.lit(f"<{tag}>"), *(F.lit(x) if x.startswith("<") else safe(x) for x in parts), F.lit(f"</{tag.split()[0]}>"))
+
+    year = F.when(F.col("paper_id") % 2 == 0, node("Year", "pub_year")).otherwise("")
+    own = F.concat(F.lit("<ArticleDate>"), year, F.lit("<Month>"), F.col("batch_no").cast("string"), F.lit("</Month><Day>7</Day></ArticleDate>"))
+    doi = F.when(safe("doi") != "", node('ArticleId IdType="DOI"', "doi")).otherwise("")
     xml = F.concat(
         F.lit("<PubmedArticleSet><PubmedArticle><MedlineCitation>"), node("PMID", "pmid"), F.lit("<Article><Journal><JournalIssue><PubDate>"), node("Year", "pub_year"),
-        F.lit("</PubDate></JournalIssue>"), node("Title", "journal"), F.lit("</Journal>"), node("ArticleTitle", "title"), F.lit("<Abstract>"),
-        node('AbstractText Label="AIM"', "abstract"), F.lit('</Abstract></Article></MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="doi">'), safe(F.col("doi")),
-        F.lit("</ArticleId></ArticleIdList></PubmedData></PubmedArticle></PubmedArticleSet>"))
-    return payloads.from_article_sets(spark, p.select(F.col("paper_id").alias("base"), xml.alias("payload"))).select("ord", "title", "abstract", "journal", "year", "date", "doi", "pmid")
+        F.lit("</PubDate></JournalIssue>"), node("Title", "journal"), F.lit("</Journal>"), node("ArticleTitle", "<i>", "title", "</i>"), F.lit("<Abstract>"),
+        node('AbstractText Label="AIM"', "abstract"), F.lit('<AbstractText Label="NONE"> </AbstractText>'), node("AbstractText", "source"),
+        F.lit("</Abstract><AuthorList><Author><ForeName>Ann</ForeName>"), node("LastName", "source"), F.lit("</Author><Author>"), node("LastName", "category"),
+        F.lit("</Author><Author>"), node("CollectiveName", "journal"), F.lit("</Author><Author/></AuthorList><PublicationTypeList><PublicationType>Letter</PublicationType>"),
+        node("PublicationType", "category"), F.lit("</PublicationTypeList>"), own, F.lit("</Article></MedlineCitation><PubmedData><ArticleIdList>"), doi,
+        node('ArticleId IdType="pmc"', "pmcid"), F.lit('</ArticleIdList><ReferenceList><Reference><ArticleIdList><ArticleId IdType="doi">10.9/cited</ArticleId>'
+                                                       "</ArticleIdList></Reference></ReferenceList></PubmedData></PubmedArticle></PubmedArticleSet>"))
+    read = payloads.from_article_sets(spark, p.select(F.col("paper_id").alias("base"), xml.alias("payload")))
+    return read.select("ord", "title", "abstract", F.array_join("authors", "|").alias("names"), "journal", "year", "date", "doi", "pmid", "pmcid", "url", "publication_type")
 
 
 def report_text(spark: SparkSession, d: str) -> DataFrame:
@@ -230,15 +254,29 @@ def report_entries(spark: SparkSession, d: str) -> DataFrame:
     return rr.entries(lines).select("section", F.col("position").cast("long").alias("position"), "title", "score", "confidence")
 
 
+def report_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Date and counts of the report, written and read back."""
+    from litquarry.sources import report_reader as rr
+
+    lines = report_text(spark, d).select(F.lit("report.md").alias("file"), "n", F.trim("line").alias("line"))
+    return rr.counts(lines).join(rr.dates(lines), "file").select("date", "label", "value")
+
+
+def service_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The five groups the services are asked with, of which each profile has a term by name and twenty by number."""
+    profiles = tuple(Profile(i, (i.replace("_", " "), *(f"{i[:4]}{k}" for k in range(20)), i.replace("_", " ").upper())) for i in PROFILE_IDS)
+    return spark.createDataFrame(list(query_groups(Topics(profiles)).items()), "group_name string, query string")
+
+
 def message(spark: SparkSession, d: str) -> DataFrame:
     from litquarry.notify import build_message
 
     return spark.createDataFrame(list(enumerate(build_message(_report(spark, d), "https://reports.example/latest").split("\n"))), "n int, line string")
 
 
-NAMES = (clean_text, normalize_title, first_sentence, shorten, truncate, split_authors, query_builder, query_group_texts, paper_keys, dedupe_key,
+NAMES = (clean_text, normalize_title, first_sentence, shorten, truncate, split_authors, query_builder, query_group_texts, service_groups, paper_keys, dedupe_key,
          dedupe_unique, dedupe_duplicates, term_hits, profile_match, scores, ranked, study_type, limitations, summaries, section_topk, qa_counts,
-         daily_window, log_upsert, log_table, europe_records, preprint_records, summary_records, article_xml, report_text, report_entries, message)
+         daily_window, log_upsert, log_table, europe_records, preprint_records, summary_records, article_xml, report_text, report_entries, report_facts, message)
 
 
 def queries() -> dict:

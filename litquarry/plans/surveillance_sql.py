@@ -96,8 +96,59 @@ CONFIDENCE = f"""CASE WHEN coalesce(is_preprint, false) THEN 'Low' WHEN regexp_m
 FLAT = _clean("abstract")
 FIRST = rf"""CASE WHEN regexp_matches({FLAT}, '^.+?[.!?] ') THEN regexp_extract({FLAT}, '^(.+?[.!?]) ', 1)
  ELSE substr({FLAT}, 1, 280) || CASE WHEN length({FLAT}) > 280 THEN '...' ELSE '' END END"""
-LOGGED = f"""WITH {SCORED}, days AS (SELECT '2025-12-31' AS date_seen, * FROM scored UNION ALL SELECT '2026-01-01', * FROM scored WHERE is_preprint)
- SELECT date_seen, source, decision, count(*) AS n, CAST(sum(total) AS BIGINT) AS total FROM days GROUP BY ALL"""
+LIMITS = f"""concat_ws(' ', CASE WHEN coalesce(is_preprint, false) THEN 'Preprint; not peer reviewed.' END,
+ CASE WHEN coalesce(abstract, '') = '' THEN 'No abstract available in fetched metadata.' END,
+ CASE WHEN contains({LOW}, 'retrospective') THEN 'Retrospective design may limit causal inference.' END,
+ CASE WHEN regexp_matches({LOW}, 'cell line|in vitro|mouse|mice') THEN 'Preclinical evidence; clinical applicability is uncertain.' END)"""
+LIMITATIONS = f"CASE WHEN {LIMITS} = '' THEN 'Only metadata/abstract reviewed; verify methods, effect size, and applicability in full text.' ELSE {LIMITS} END"
+SUMMARY = f"""CASE WHEN {FLAT} = '' THEN 'No abstract available. Check the full text before interpreting.' ELSE {FIRST} END
+ || ' Interpretation should remain cautious because this is abstract-level surveillance.'"""
+DAYS = "SELECT '2025-12-31' AS date_seen, * FROM placed UNION ALL SELECT '2026-01-01', * FROM placed WHERE is_preprint"
+LOGGED = f"""WITH {SEEN}, {SCORED}, placed AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank FROM scored WHERE ord NOT IN (SELECT ord FROM dups)), days AS ({DAYS})
+ SELECT date_seen, source, decision, count(*) AS n, CAST(sum(total) AS BIGINT) AS total"""
+LISTED = f"""{SEEN}, {SCORED}, {SECTIONED}, placed AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY {ORDER}) AS position FROM sectioned WHERE section IS NOT NULL),
+ entries AS (SELECT section, position, coalesce(p.title, '') AS title, coalesce(p.source, '') AS source, CASE WHEN coalesce(journal, '') = '' THEN 'Unknown' ELSE journal END AS journal,
+   {KIND.replace('publication_type', 'p.publication_type').replace('title', 'p.title').replace('abstract', 'p.abstract').replace('is_preprint', 'p.is_preprint')} AS kind,
+   CASE WHEN len(profiles) = 0 THEN 'No configured profile matched' ELSE array_to_string(profiles, ', ') END AS profiles,
+   CAST(total AS VARCHAR) || ' = relevance ' || CAST(rel AS VARCHAR) || ' + evidence ' || CAST(ev AS VARCHAR) AS score,
+   CASE WHEN coalesce(url, '') <> '' THEN url WHEN coalesce(doi, '') <> '' THEN 'https://doi.org/' || doi END AS link, takeaway, limits, sure
+   FROM placed JOIN (SELECT paper_id AS ord, title, abstract, publication_type, is_preprint, source, journal, url, doi FROM papers) p USING (ord)
+   JOIN (SELECT paper_id AS ord, {SUMMARY} AS takeaway, {LIMITATIONS} AS limits, {CONFIDENCE} AS sure FROM papers) a USING (ord)
+   WHERE position <= CASE section WHEN 'pathology' THEN 10 WHEN 'watchlist' THEN 8 ELSE 5 END),
+ counted(label, k, v) AS (SELECT 'Total scored candidates', 0, count(*) FROM sectioned UNION ALL SELECT 'Peer-reviewed pathology digest items', 1, count(*) FILTER (section = 'pathology') FROM sectioned
+   UNION ALL SELECT 'GP-useful digest items', 2, count(*) FILTER (section = 'gp') FROM sectioned UNION ALL SELECT 'Preprint watch items', 3, count(*) FILTER (section = 'preprints') FROM sectioned
+   UNION ALL SELECT 'Watchlist items', 4, count(*) FILTER (section = 'watchlist') FROM sectioned)"""
+# Heading of each section of the report, and what stands there if it is empty.
+HEADINGS = (("pathology", "Top peer-reviewed pathology papers", "No peer-reviewed pathology papers met the digest threshold today."),
+            ("gp", "General medical / GP-useful updates", "No GP-useful papers met the digest threshold today."),
+            ("preprints", "Preprints — not peer reviewed", "No preprints met the watch threshold today."),
+            ("watchlist", "Additional watchlist", "No additional watchlist papers today."))
+NL = "chr(10)"
+BLOCK = f"""concat_ws({NL}, '### ' || CAST(position AS VARCHAR) || '. ' || title, '**Source:** ' || source || '  ', '**Journal:** ' || journal || '  ', '**Study type:** ' || kind || '  ',
+ '**Matched profile:** ' || profiles || '  ', '**Score:** ' || score || '  ', '**Link:** ' || link || '  ', '**Takeaway:** ' || takeaway, '**Limitations:** ' || limits,
+ '**Confidence:** ' || sure, '')"""
+PIECES = " UNION ALL ".join(
+    f"""SELECT {k}, {_q('## ' + heading)} || {NL} || coalesce((SELECT string_agg({BLOCK}, {NL} ORDER BY position) FROM entries WHERE section = '{name}'), {_q(empty)}) || {NL}"""
+    for k, (name, heading, empty) in enumerate(HEADINGS, 1))
+REPORT = f"""WITH {LISTED}, pieces(k, t) AS (SELECT 0, '# Daily General Pathology Research Digest' || {NL} || 'Date: 2026-01-01' || {NL} || {NL} || '> Research surveillance and education only.' || {NL}
+   UNION ALL {PIECES}
+   UNION ALL SELECT 9, '## Pipeline QA' || {NL} || (SELECT string_agg('- ' || label || ': ' || CAST(v AS VARCHAR), {NL} ORDER BY k) FROM counted)),
+ whole AS (SELECT string_split(string_agg(t, {NL} ORDER BY k) || {NL}, {NL}) AS lines FROM pieces)
+ SELECT CAST(i - 1 AS INTEGER) AS n, lines[i] AS line FROM whole, range(1, len(lines) + 1) r(i)"""
+SHORT = f"CASE WHEN length(trim(takeaway)) <= 420 THEN trim(takeaway) ELSE rtrim(substr(trim(takeaway), 1, 417)) || '...' END"
+ENTRY = f"""concat_ws({NL}, CAST(position AS VARCHAR) || '. ' || trim(title), trim(journal) || CASE WHEN trim(source) <> '' THEN ' | ' || trim(source) ELSE '' END || ' | Score ' || score,
+ 'Takeaway: ' || {SHORT}, 'Link: ' || trim(link), '')"""
+SAID = " UNION ALL ".join(
+    f"SELECT {k}, '{label}:' || {NL} || coalesce((SELECT string_agg({ENTRY}, {NL} ORDER BY position) FROM entries WHERE section = '{name}' AND position <= {most}), 'No items met the threshold today.') || {NL}"
+    for k, (name, label, most) in enumerate((("pathology", "Top pathology", 3), ("gp", "GP-useful highlight", 1), ("preprints", "Preprint highlight", 1)), 1))
+GLANCE = " || ' | ' || ".join(f"'{short} ' || (SELECT CAST(v AS VARCHAR) FROM counted WHERE k = {k})" for short, k in (("GP", 2), ("Preprints", 3), ("Watchlist", 4)))
+MESSAGE = f"""WITH {LISTED}, pieces(k, t) AS (SELECT 0, 'Daily Pathology Digest - 2026-01-01' || {NL} UNION ALL {SAID}
+   UNION ALL SELECT 8, 'At a glance: ' || {GLANCE} || {NL} || 'Full digest: https://reports.example/latest' || {NL}
+   UNION ALL SELECT 9, 'Research surveillance only; verify full text before changing practice.'),
+ joined AS (SELECT string_agg(t, {NL} ORDER BY k) AS m FROM pieces),
+ whole AS (SELECT string_split(CASE WHEN length(m) <= 3900 THEN m ELSE rtrim(substr(m, 1, 3880), ' ' || {NL}) || {NL} || '...continued in digest' END, {NL}) AS lines FROM joined)
+ SELECT CAST(i - 1 AS INTEGER) AS n, lines[i] AS line FROM whole, range(1, len(lines) + 1) r(i)"""
+SAFE = lambda c: f"regexp_replace(coalesce({c}, ''), '[<>&\\x00-\\x1f]', ' ', 'g')"
 PLAIN = lambda c: _clean(f"regexp_replace(coalesce({c}, ''), '[<>&\\x00-\\x1f]', ' ', 'g')")
 
 
@@ -132,14 +183,8 @@ def oracle_sql() -> dict[str, str]:
             CAST(total AS INTEGER) AS total_score, decision FROM scored""",
         "ranked": f"WITH {SCORED} SELECT ord, row_number() OVER (ORDER BY {ORDER}) AS rank, CAST(total AS INTEGER) AS total_score, decision FROM scored",
         "study_type": f"SELECT paper_id AS ord, {KIND} AS study_type FROM papers",
-        "limitations": f"""SELECT paper_id AS ord, CASE WHEN l = '' THEN 'Only metadata/abstract reviewed; verify methods, effect size, and applicability in full text.' ELSE l END AS limitations FROM (
-            SELECT paper_id, concat_ws(' ', CASE WHEN coalesce(is_preprint, false) THEN 'Preprint; not peer reviewed.' END,
-              CASE WHEN coalesce(abstract, '') = '' THEN 'No abstract available in fetched metadata.' END,
-              CASE WHEN contains({LOW}, 'retrospective') THEN 'Retrospective design may limit causal inference.' END,
-              CASE WHEN regexp_matches({LOW}, 'cell line|in vitro|mouse|mice') THEN 'Preclinical evidence; clinical applicability is uncertain.' END) AS l FROM papers)""",
-        "summaries": f"""SELECT paper_id AS ord, {CONFIDENCE} AS confidence,
-            CASE WHEN {FLAT} = '' THEN 'No abstract available. Check the full text before interpreting.' ELSE {FIRST} END
-              || ' Interpretation should remain cautious because this is abstract-level surveillance.' AS summary FROM papers""",
+        "limitations": f"SELECT paper_id AS ord, {LIMITATIONS} AS limitations FROM papers",
+        "summaries": f"SELECT paper_id AS ord, {CONFIDENCE} AS confidence, {SUMMARY} AS summary FROM papers",
         "section_topk": f"""WITH {SEEN}, {SCORED}, {SECTIONED}, placed AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY {ORDER}) AS position FROM sectioned WHERE section IS NOT NULL)
             SELECT section, CAST(position AS INTEGER) AS position, ord, CAST(total AS INTEGER) AS total_score, title FROM placed
             WHERE position <= CASE section WHEN 'pathology' THEN 10 WHEN 'watchlist' THEN 8 ELSE 5 END""",
@@ -152,8 +197,13 @@ def oracle_sql() -> dict[str, str]:
             (SELECT count(*) FROM papers) AS fetched, (SELECT count(*) FROM dups) AS duplicates FROM sectioned""",
         "daily_window": """SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events
             WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-15' GROUP BY ALL""",
-        "log_upsert": LOGGED,
-        "log_table": LOGGED,
+        "log_upsert": f"{LOGGED} FROM days GROUP BY ALL",
+        "log_table": f"""{LOGGED}, CAST(sum(length(summary)) AS BIGINT) AS summary_chars, min(rank) AS first_rank, max(rank) AS last_rank
+            FROM days JOIN (SELECT paper_id AS ord, {SUMMARY} AS summary FROM papers) USING (ord) GROUP BY ALL""",
+        "report_text": REPORT,
+        "report_facts": f"WITH {LISTED} SELECT '2026-01-01' AS date, label, CAST(v AS VARCHAR) AS value FROM counted",
+        "message": MESSAGE,
+        "service_groups": _service_groups(),
         "europe_records": f"""SELECT paper_id AS ord, {_clean('title')} AS title, {_clean(first('journal', 'source'))} AS journal, {find('pub_year')} AS year, {first('pub_date', 'pub_year')} AS date,
             CASE WHEN coalesce(pmid, '') <> '' THEN 'https://europepmc.org/article/MED/' || pmid ELSE {doi_url} END AS url, {_clean('publication_type')} AS publication_type,
             CAST(len({_authors('authors')}) AS INTEGER) AS n_authors FROM papers""",
@@ -161,6 +211,33 @@ def oracle_sql() -> dict[str, str]:
             {find('category')} AS category, true AS is_preprint, CAST(len({_authors('authors')}) AS INTEGER) AS n_authors FROM preprints""",
         "summary_records": f"""SELECT paper_id AS ord, {_clean(first('journal', 'source'))} AS journal, substr({find('pub_date')}, 1, 4) AS year, {find('doi')} AS doi, {find('pmid')} AS pmid, {find('pmcid')} AS pmcid,
             CASE WHEN coalesce(pmid, '') <> '' THEN 'https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/' ELSE '' END AS url FROM papers""",
-        "article_xml": f"""SELECT paper_id AS ord, {PLAIN('title')} AS title, CASE WHEN {PLAIN('abstract')} <> '' THEN 'AIM: ' || {PLAIN('abstract')} ELSE '' END AS abstract,
-            {PLAIN('journal')} AS journal, {PLAIN('pub_year')} AS year, {PLAIN('pub_year')} AS date, {PLAIN('doi')} AS doi, {PLAIN('pmid')} AS pmid FROM papers""",
+        "article_xml": f"""SELECT paper_id AS ord, {PLAIN('title')} AS title,
+            concat_ws(' ', CASE WHEN {PLAIN('abstract')} <> '' THEN 'AIM: ' || {PLAIN('abstract')} END, nullif({PLAIN('source')}, '')) AS abstract,
+            concat_ws('|', trim('Ann ' || {PLAIN('source')}), nullif({PLAIN('category')}, ''), nullif({PLAIN('journal')}, '')) AS names,
+            {PLAIN('journal')} AS journal, {PLAIN('pub_year')} AS year, CASE WHEN {PLAIN('pub_year')} <> '' THEN {PLAIN('pub_year')} || '-' || CASE WHEN batch_no < 10 THEN '0' ELSE '' END
+              || CAST(batch_no AS VARCHAR) || '-07' ELSE '' END AS date,
+            CASE WHEN {SAFE('doi')} <> '' THEN {PLAIN('doi')} ELSE '10.9/cited' END AS doi, {PLAIN('pmid')} AS pmid, {PLAIN('pmcid')} AS pmcid,
+            CASE WHEN {PLAIN('pmid')} <> '' THEN 'https://pubmed.ncbi.nlm.nih.gov/' || {PLAIN('pmid')} || '/' ELSE '' END AS url,
+            concat_ws(', ', 'Letter', nullif({PLAIN('category')}, '')) AS publication_type FROM papers""",
     }
+
+
+def _service_groups() -> str:
+    """The groups by set operations on (profile, place, term): the first 18 terms of a group's profiles without case-blind repeats."""
+    # The anchor terms, and each group's profiles, whether it is anchored, its number of terms.
+    anchor = ("pathology", "histopathology", "surgical pathology", "diagnostic pathology", "cytopathology", "immunohistochemistry",
+              "molecular pathology", "digital pathology", "laboratory medicine", "structured reporting")
+    from litquarry import config as c
+
+    groups = (("general_pathology", (c.GENERAL, c.SURGICAL), 0, 18), ("molecular_digital_pathology", (c.MOLECULAR, c.DIGITAL), 1, 18),
+              ("cyto_lab_quality", (c.CYTO, c.LAB, c.QUALITY), 0, 18), ("treatment_and_gp", (c.TREATMENT, c.GP), 1, 18), ("guidelines_reviews", (c.GUIDELINES,), 1, 10))
+    members = ", ".join(f"({_q(name)}, {anchored}, {most}, {k}, {_q(i)})" for name, own, anchored, most in groups for k, i in enumerate(own))
+    quoted = lambda t: f"CASE WHEN contains({t}, ' ') THEN '\"' || {t} || '\"' ELSE {t} END"
+    base = " OR ".join(f'"{t}"' if " " in t else t for t in anchor)
+    return f"""WITH member(g, anchored, most, k, id) AS (VALUES {members}),
+ term AS (SELECT g, anchored, most, k * 100 + j AS place, CASE j WHEN 0 THEN replace(id, '_', ' ') WHEN 21 THEN upper(replace(id, '_', ' ')) ELSE substr(id, 1, 4) || CAST(j - 1 AS VARCHAR) END AS t
+   FROM member, range(22) r(j)),
+ first AS (SELECT g, anchored, most, t, place FROM (SELECT *, row_number() OVER (PARTITION BY g, lower(t) ORDER BY place) AS nth FROM term) WHERE nth = 1),
+ cut AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY place) AS nth FROM first)
+ SELECT g AS group_name, CASE WHEN any_value(anchored) = 1 THEN {_q(f'({base}) AND (')} || string_agg({quoted('t')}, ' OR ' ORDER BY place) || ')'
+   ELSE string_agg({quoted('t')}, ' OR ' ORDER BY place) END AS query FROM cut WHERE nth <= most GROUP BY g"""

@@ -1,4 +1,4 @@
-"""The log of scored records: a parquet table partitioned by day, upserted by replacing the day, exported as CSV."""
+"""The log of scored records: a parquet table partitioned by day, upserted by replacing the day, and its CSV for readers of the file."""
 
 from __future__ import annotations
 
@@ -42,11 +42,22 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
-def export_csv(spark: SparkSession, path: str, target: str | Path) -> None:
-    """One CSV of the whole log for readers of the file, streamed through the driver a partition at a time."""
-    log = read_log(spark, path).select(*COLUMNS, "rank").orderBy("date_seen", "rank")
-    with Path(target).open("w", newline="", encoding="utf-8") as f:
+def export_csv(rows: DataFrame, target: str | Path, today: str) -> None:
+    """Bring the CSV for readers of the file up to date: other days stay as they are, the day's rows follow in rank order.
+
+    Only the day's rows leave Spark, a partition at a time; the file itself is copied line by line and replaced at the end.
+    """
+    csv.field_size_limit(2**31 - 1)  # titles and summaries are of any length
+    target = Path(target)
+    fresh = target.with_suffix(".new")
+    with fresh.open("w", newline="", encoding="utf-8") as f:
         out = csv.writer(f)
         out.writerow(COLUMNS)
-        for r in log.toLocalIterator():
+        if target.exists():
+            with target.open(newline="", encoding="utf-8") as old:
+                for row in csv.DictReader(old):
+                    if row["date_seen"] != today:
+                        out.writerow([row[c] for c in COLUMNS])
+        for r in rows.select(*COLUMNS, "rank").orderBy("rank").toLocalIterator():
             out.writerow(["" if v is None else v for v in r[:-1]])
+    fresh.replace(target)
