@@ -77,9 +77,11 @@ def release(spark: SparkSession) -> None:
         _remove(spark, _WRITTEN.pop())
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Cut lineage with a written table in the shared folder, deleted at the latest when the driver ends.
 
+    ``by`` names the last column, if readers will take one value of it at a time: it then partitions the table.
+
     Parquet rather than ``checkpoint()``: columnar and compressed, so smaller on disk and prunable when read back.
     The files outlive any executor. Once a query has ended, its shuffle files serve nothing, so the session is told, once
     and for all its queries alike, to remove them then.
@@ -88,7 +90,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     if spark.conf.get(CLEANUP_KEY, None) is None or spark.conf.get(CLEANUP_KEY) != "true":
         spark.conf.set(CLEANUP_KEY, "true")
     path = table_path(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,3 +1,4 @@
+import csv
 import json
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from litquarry import cli, notify
 from litquarry.config import GENERAL, GP, GUIDELINES, LEGACY, MOLECULAR, Profile, Settings, Topics
+from litquarry.operators import dedupe as dd
 from litquarry.operators import report
 from litquarry.operators.annotate import annotate
 from litquarry.operators.dedupe import dedupe, dedupe_key
@@ -185,3 +187,21 @@ def test_message_without_credentials(monkeypatch, capsys, tmp_path):
     assert sent[0]["chat_id"] == "c" and "No items met the threshold today." in sent[0]["text"]
     with pytest.raises(SystemExit):
         notify.main(["--digest", str(tmp_path / "r.md")], lambda url, form: {"ok": False})
+
+
+def test_csv_keeps_other_days_and_any_text(spark, tmp_path):
+    found = annotate(rank(score(papers(spark, [{"title": 'A "quoted",\nlong ' + "x" * 200_000}, {"title": "b"}]), TOPICS)))
+    target = tmp_path / "papers.csv"
+    for day, rows in (("2026-01-02", found), ("2026-01-01", found), ("2026-01-02", found.filter("title = 'b'")), ("2026-01-03", found.limit(0))):
+        log.export_csv(log.log_rows(rows, day), target, day)
+    got = list(csv.DictReader(target.open(newline="", encoding="utf-8")))
+    assert [(r["date_seen"], len(r["title"])) for r in got] == [("2026-01-01", 200_017), ("2026-01-01", 1), ("2026-01-02", 1)] and not list(tmp_path.glob("*.new"))
+
+
+def test_a_hot_key_is_one_key(spark, monkeypatch):
+    """Keys of more records than the bound are broadcast; the result is that of the plain join."""
+    rows = [{"title": "same title", "doi": f"10.1/{i % 7}"} for i in range(60)] + [{"title": f"own {i}", "pmid": str(i % 9)} for i in range(30)] + [{"title": ""}] * 3
+    df = papers(spark, rows)
+    plain = sorted(r.ord for r in dd.late_records(df).collect())
+    monkeypatch.setattr(dd, "HOT", 10)
+    assert sorted(r.ord for r in dd.late_records(df).collect()) == plain == [*range(1, 60), *range(69, 90)]
