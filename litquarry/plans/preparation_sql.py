@@ -61,5 +61,32 @@ DATES = f"""WITH written AS (SELECT paper_id, pub_date, pub_year, tz_name, day_o
  SELECT paper_id, date_norm FROM dated WHERE date_norm IS NOT NULL AND date_norm <> '0000' AND date_norm IS DISTINCT FROM pub_date"""
 
 
+# Texts for "missing", the strong separators, and white space.
+ABSENT = "'', 'n/a', 'na', 'none', 'null', 'nil', '-', '--', 'unknown', 'unspecified', 'not available', 'not given', 'n.d.', 'et al', 'et al.'"
+STRONG, BLANKS = r";；|/+\t\n\r", r"\s\x{A0}\x{3000}"
+QUOTED = '"(?:[^"]|"")*"'
+# Quoted values are set aside (their separators become private characters), then the text is split and they are restored.
+ASIDE = ";；|/+\t\n\r,& "
+KEPT = "".join(chr(0xE000 + k) for k in range(len(ASIDE)))
+HIDE = f"translate(q, '{ASIDE}', '{KEPT}')"
+SHOW = f"translate(v, '{KEPT}', '{ASIDE}')"
+PACKED = rf"""WITH field AS (SELECT paper_id, 'authors' AS f, authors AS t FROM papers UNION ALL SELECT paper_id, 'publication_type', publication_type FROM papers
+   UNION ALL SELECT paper_id, 'matched_profiles', matched_profiles FROM papers),
+ listed AS (SELECT paper_id, f, CASE WHEN regexp_matches(trim(t), '^\[.*\]$', 's') THEN substr(trim(t), 2, length(trim(t)) - 2) ELSE t END AS t FROM field WHERE lower(trim(coalesce(t, ''))) NOT IN ({ABSENT})),
+ plain AS (SELECT paper_id, f, regexp_replace(t, '(^|[^A-Za-z0-9])(?i:n/a)([^A-Za-z0-9]|$)', '\1n.d.\2', 'g') AS t FROM listed),
+ apart AS (SELECT *, string_split_regex(t, '{QUOTED}') AS bare, regexp_extract_all(t, '{QUOTED}') AS quoted FROM plain),
+ hidden AS (SELECT paper_id, f, CASE WHEN len(quoted) = 0 THEN t ELSE array_to_string(list_transform(range(1, len(bare) + 1), lambda i: bare[i] || coalesce(list_transform([quoted[i]], lambda q: {HIDE})[1], '')), '') END AS t,
+   array_to_string(bare, ' ') AS outside FROM apart),
+ cut AS (SELECT paper_id, f, CASE WHEN f = 'matched_profiles' THEN string_split_regex(t, '[{STRONG},& ]+(?:and[{STRONG},& ]+)?') WHEN regexp_matches(outside, '[{STRONG}]') THEN string_split_regex(t, '[{STRONG}]+')
+   ELSE string_split_regex(t, ',|&|\sand\s|^and\s|\sand$') END AS parts FROM hidden),
+ each AS (SELECT paper_id, f, unnest(parts) AS v, generate_subscripts(parts, 1) AS i FROM cut),
+ shown AS (SELECT paper_id, f, i, regexp_replace({SHOW}, '^[{BLANKS}]+|[{BLANKS}]+$', '', 'g') AS v FROM each),
+ bared AS (SELECT paper_id, f, i, CASE WHEN regexp_matches(v, '^{QUOTED}$') THEN replace(substr(v, 2, length(v) - 2), '""', '"') WHEN regexp_matches(v, '^\[[^\[\]]*\]$') THEN substr(v, 2, length(v) - 2)
+   ELSE regexp_replace(v, '\s+(?i:et al)\.?$', '') END AS v FROM shown),
+ kept AS (SELECT paper_id, f, i, regexp_replace(v, '^[{BLANKS}]+|[{BLANKS}]+$', '', 'g') AS v FROM bared),
+ numbered AS (SELECT paper_id, f, v, row_number() OVER w AS item_pos, count(*) OVER (PARTITION BY paper_id, f) AS n FROM kept WHERE lower(v) NOT IN ({ABSENT}) WINDOW w AS (PARTITION BY paper_id, f ORDER BY i))
+ SELECT paper_id, f AS field_name, item_pos, v AS item FROM numbered WHERE n >= 2"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": DATES}
+    return {"p1_found": DATES, "p7_found": PACKED}
