@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -95,6 +96,13 @@ def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """(the written table, its number of rows), counted while it is written."""
+    seen = Observation()
+    table = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return table, int(seen.get["rows"] or 0)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete one materialised table."""
     _remove(spark, path)
