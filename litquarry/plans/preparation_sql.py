@@ -70,7 +70,7 @@ ASIDE = ";；|/+\t\n\r,& "
 KEPT = "".join(chr(0xE000 + k) for k in range(len(ASIDE)))
 HIDE = f"translate(q, '{ASIDE}', '{KEPT}')"
 SHOW = f"translate(v, '{KEPT}', '{ASIDE}')"
-PACKED = rf"""WITH field AS (SELECT paper_id, 'authors' AS f, authors AS t FROM papers UNION ALL SELECT paper_id, 'publication_type', publication_type FROM papers
+VALUES = rf"""WITH field AS (SELECT paper_id, 'authors' AS f, authors AS t FROM papers UNION ALL SELECT paper_id, 'publication_type', publication_type FROM papers
    UNION ALL SELECT paper_id, 'matched_profiles', matched_profiles FROM papers),
  listed AS (SELECT paper_id, f, CASE WHEN regexp_matches(trim(t), '^\[.*\]$', 's') THEN substr(trim(t), 2, length(trim(t)) - 2) ELSE t END AS t FROM field WHERE lower(trim(coalesce(t, ''))) NOT IN ({ABSENT})),
  plain AS (SELECT paper_id, f, regexp_replace(t, '(^|[^A-Za-z0-9])(?i:n/a)([^A-Za-z0-9]|$)', '\1n.d.\2', 'g') AS t FROM listed),
@@ -82,11 +82,15 @@ PACKED = rf"""WITH field AS (SELECT paper_id, 'authors' AS f, authors AS t FROM
  each AS (SELECT paper_id, f, unnest(parts) AS v, generate_subscripts(parts, 1) AS i FROM cut),
  shown AS (SELECT paper_id, f, i, regexp_replace({SHOW}, '^[{BLANKS}]+|[{BLANKS}]+$', '', 'g') AS v FROM each),
  bared AS (SELECT paper_id, f, i, CASE WHEN regexp_matches(v, '^{QUOTED}$') THEN replace(substr(v, 2, length(v) - 2), '""', '"') WHEN regexp_matches(v, '^\[[^\[\]]*\]$') THEN substr(v, 2, length(v) - 2)
-   ELSE regexp_replace(v, '\s+(?i:et al)\.?$', '') END AS v FROM shown),
- kept AS (SELECT paper_id, f, i, regexp_replace(v, '^[{BLANKS}]+|[{BLANKS}]+$', '', 'g') AS v FROM bared),
- numbered AS (SELECT paper_id, f, v, row_number() OVER w AS item_pos, count(*) OVER (PARTITION BY paper_id, f) AS n FROM kept WHERE lower(v) NOT IN ({ABSENT}) WINDOW w AS (PARTITION BY paper_id, f ORDER BY i))
- SELECT paper_id, f AS field_name, item_pos, v AS item FROM numbered WHERE n >= 2"""
+   ELSE regexp_replace(v, '\s+(?i:et al)\.?$', '') END AS v,
+   NOT regexp_matches(v, '^({QUOTED}|\[[^\[\]]*\])$') AND (contains(v, '"') OR contains(v, '[') <> contains(v, ']')) AS malformed FROM shown),
+ kept AS (SELECT paper_id, f, i, malformed, regexp_replace(v, '^[{BLANKS}]+|[{BLANKS}]+$', '', 'g') AS v FROM bared),
+ numbered AS (SELECT paper_id, f, v, malformed, row_number() OVER w AS item_pos, count(*) OVER (PARTITION BY paper_id, f) AS n FROM kept WHERE lower(v) NOT IN ({ABSENT}) WINDOW w AS (PARTITION BY paper_id, f ORDER BY i))"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": DATES, "p7_found": PACKED}
+    return {
+        "p1_found": DATES,
+        "p7_found": f"{VALUES} SELECT paper_id, f AS field_name, item_pos, v AS item FROM numbered WHERE n >= 2",
+        "p7_malformed": f"{VALUES} SELECT f AS field_name, count(*) AS n_values, count(*) FILTER (malformed) AS n_malformed FROM numbered GROUP BY f",
+    }
