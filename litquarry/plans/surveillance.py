@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+from datetime import date
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litquarry.config import CYTO, DIGITAL, GENERAL, GP, GUIDELINES, LAB, MOLECULAR, QUALITY, SURGICAL, TREATMENT, Profile, Topics
+from litquarry.config import CYTO, DIGITAL, GENERAL, GP, GUIDELINES, LAB, MOLECULAR, QUALITY, SURGICAL, TREATMENT, Profile, Topics, load_topics
 from litquarry.functions import text
 from litquarry.operators import annotate as notes
 from litquarry.operators import dedupe as dd
@@ -246,6 +251,14 @@ def report_text(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(lines)), "n int, line string")
 
 
+def written_report(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of both files a report is written to, the day's and the latest."""
+    with tempfile.TemporaryDirectory() as folder:  # files of the driver, read on the driver
+        report.write_report(_report(spark, d), folder, DAY)
+        lines = [(f.name, n, line) for f in sorted(Path(folder).iterdir()) for n, line in enumerate(f.read_text(encoding="utf-8").split("\n"))]
+    return spark.createDataFrame(lines, "file string, n int, line string")
+
+
 def report_entries(spark: SparkSession, d: str) -> DataFrame:
     """The report written, read back and parsed."""
     from litquarry.sources import report_reader as rr
@@ -262,10 +275,47 @@ def report_facts(spark: SparkSession, d: str) -> DataFrame:
     return rr.counts(lines).join(rr.dates(lines), "file").select("date", "label", "value")
 
 
+def _numbered_topics() -> Topics:
+    """The roles' own profiles, each with its name, twenty numbered terms, and its name again in capitals."""
+    return Topics(tuple(Profile(i, (i.replace("_", " "), *(f"{i[:4]}{k}" for k in range(20)), i.replace("_", " ").upper())) for i in PROFILE_IDS))
+
+
 def service_groups(spark: SparkSession, d: str) -> DataFrame:
-    """The five groups the services are asked with, of which each profile has a term by name and twenty by number."""
-    profiles = tuple(Profile(i, (i.replace("_", " "), *(f"{i[:4]}{k}" for k in range(20)), i.replace("_", " ").upper())) for i in PROFILE_IDS)
-    return spark.createDataFrame(list(query_groups(Topics(profiles)).items()), "group_name string, query string")
+    """The five groups the services are asked with."""
+    return spark.createDataFrame(list(query_groups(_numbered_topics()).items()), "group_name string, query string")
+
+
+def service_records(spark: SparkSession, d: str) -> DataFrame:
+    """All requests of a live run through the data source, answered by a transport that repeats them."""
+    from litquarry.sources.services import fetch_live
+
+    rows = fetch_live(spark, _numbered_topics(), asof=date.fromisoformat(AS_OF), transport="litquarry.sources.echo.answer")
+    return rows.select("ord", "title", "pmid", "source", "date", "category", "is_preprint", "url")
+
+
+def fixture_records(spark: SparkSession, d: str) -> DataFrame:
+    """The feeds, of which there are six, written as a fixture of records and read by the strict reader."""
+    from litquarry.session import delete_on_exit, table_path
+    from litquarry.sources.fixture import load_fixture
+
+    feeds = load(spark, d, "feeds")
+    record = F.struct(F.col("source").alias("title"), F.col("tz_name").alias("journal"), F.array("day_order", "source").alias("authors"), (F.col("trust_rank") > 3).alias("is_preprint"))
+    path = table_path(spark, "fixture")
+    feeds.agg(F.to_json(F.array_sort(F.collect_list(record))).alias("value")).coalesce(1).write.text(path)
+    delete_on_exit(spark, path)
+    return load_fixture(spark, path).select("ord", "title", "journal", F.array_join("authors", "|").alias("names"), "abstract", "is_preprint")
+
+
+def topics_file(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus vocabulary written as a topics file and read back: every term with its profile, weight and place."""
+    raw = {"min_digest_score": TOPICS.min_score, "negative_terms": list(TOPICS.negative_terms),
+           "profiles": [{"id": p.id, "weight": p.weight, "terms": list(p.terms)} | ({} if p.weight != 1 else {"label": "unread"}) for p in TOPICS.profiles]}
+    with tempfile.TemporaryDirectory() as folder:  # a file of the driver, read on the driver
+        file = Path(folder, "topics.json")
+        file.write_text(json.dumps(raw), encoding="utf-8")
+        read = load_topics(file)
+    rows = [(p.id, p.weight, k, t, read.min_score, read.window_days) for p in read.profiles for k, t in enumerate(p.terms)]
+    return spark.createDataFrame(rows, "profile string, weight int, place int, term string, least_score int, days int")
 
 
 def message(spark: SparkSession, d: str) -> DataFrame:
@@ -274,9 +324,9 @@ def message(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(build_message(_report(spark, d), "https://reports.example/latest").split("\n"))), "n int, line string")
 
 
-NAMES = (clean_text, normalize_title, first_sentence, shorten, truncate, split_authors, query_builder, query_group_texts, service_groups, paper_keys, dedupe_key,
+NAMES = (clean_text, normalize_title, first_sentence, shorten, truncate, split_authors, query_builder, query_group_texts, service_groups, service_records, fixture_records, topics_file, paper_keys, dedupe_key,
          dedupe_unique, dedupe_duplicates, term_hits, profile_match, scores, ranked, study_type, limitations, summaries, section_topk, qa_counts,
-         daily_window, log_upsert, log_table, europe_records, preprint_records, summary_records, article_xml, report_text, report_entries, report_facts, message)
+         daily_window, log_upsert, log_table, europe_records, preprint_records, summary_records, article_xml, report_text, written_report, report_entries, report_facts, message)
 
 
 def queries() -> dict:

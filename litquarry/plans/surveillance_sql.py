@@ -201,9 +201,15 @@ def oracle_sql() -> dict[str, str]:
         "log_table": f"""{LOGGED}, CAST(sum(length(summary)) AS BIGINT) AS summary_chars, min(rank) AS first_rank, max(rank) AS last_rank
             FROM days JOIN (SELECT paper_id AS ord, {SUMMARY} AS summary FROM papers) USING (ord) GROUP BY ALL""",
         "report_text": REPORT,
+        "written_report": f"SELECT file, n, line FROM ({REPORT}), (VALUES ('2026-01-01.md'), ('latest.md')) f(file)",
         "report_facts": f"WITH {LISTED} SELECT '2026-01-01' AS date, label, CAST(v AS VARCHAR) AS value FROM counted",
         "message": MESSAGE,
         "service_groups": _service_groups(),
+        "service_records": _service_records(),
+        "fixture_records": """SELECT row_number() OVER (ORDER BY source) - 1 AS ord, source AS title, tz_name AS journal, day_order || '|' || source AS names, '' AS abstract,
+            trust_rank > 3 AS is_preprint FROM feeds""",
+        "topics_file": "SELECT * FROM (VALUES " + ", ".join(f"({_q(p.id)}, {p.weight}, {k}, {_q(t)}, {TOPICS.min_score}, 7)" for p in TOPICS.profiles for k, t in enumerate(p.terms))
+            + ") t(profile, weight, place, term, least_score, days)",
         "europe_records": f"""SELECT paper_id AS ord, {_clean('title')} AS title, {_clean(first('journal', 'source'))} AS journal, {find('pub_year')} AS year, {first('pub_date', 'pub_year')} AS date,
             CASE WHEN coalesce(pmid, '') <> '' THEN 'https://europepmc.org/article/MED/' || pmid ELSE {doi_url} END AS url, {_clean('publication_type')} AS publication_type,
             CAST(len({_authors('authors')}) AS INTEGER) AS n_authors FROM papers""",
@@ -241,3 +247,15 @@ def _service_groups() -> str:
  cut AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY place) AS nth FROM first)
  SELECT g AS group_name, CASE WHEN any_value(anchored) = 1 THEN {_q(f'({base}) AND (')} || string_agg({quoted('t')}, ' OR ' ORDER BY place) || ')'
    ELSE string_agg({quoted('t')}, ' OR ' ORDER BY place) END AS query FROM cut WHERE nth <= most GROUP BY g"""
+
+
+def _service_records() -> str:
+    """What the requests of a live run carry, for the eight days to the day asked for and ten records a query."""
+    days = "'2024-01-08' AS first, '2024-01-15' AS last"
+    order = "CASE group_name WHEN 'general_pathology' THEN 0 WHEN 'molecular_digital_pathology' THEN 1 WHEN 'cyto_lab_quality' THEN 2 WHEN 'treatment_and_gp' THEN 3 ELSE 4 END"
+    return f"""WITH asked AS (SELECT {order} AS k, query, {days} FROM ({_service_groups()})),
+ searched AS (SELECT k, CAST(length('(' || query || ') AND (' || first || ':' || last || '[edat])') AS VARCHAR) AS found FROM asked),
+ article AS (SELECT k, 0 AS i, found AS pmid FROM searched UNION ALL SELECT k, 1, '10' FROM searched)
+ SELECT CAST(k * 2000000 + i AS BIGINT) AS ord, 'Record ' || pmid AS title, pmid, 'PubMed' AS source, '' AS date, '' AS category, false AS is_preprint, 'https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/' AS url FROM article
+ UNION ALL SELECT k * 2000000 + 1000000, '(' || query || ') AND FIRST_PDATE:[' || first || ' TO ' || last || ']', '10', 'Europe PMC', '', '', false, 'https://europepmc.org/article/MED/10' FROM asked
+ UNION ALL SELECT 10000000 + j * 1000000, server || ' from 2024-01-08 to 2024-01-15', '', server, '2024-01-08', 'all', true, '' FROM (VALUES (0, 'medrxiv'), (1, 'biorxiv')) t(j, server)"""
