@@ -35,7 +35,7 @@ batch number (null seq) matches nothing; repeated rows give one pair per pair of
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -43,11 +43,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litquarry.llm.words import WordHashes, distinct_words, mix, set_sums
-from litquarry.session import delete_on_exit, materialise, table_path
+from litquarry.session import delete_on_exit, materialise, materialise_counted, table_path
 
 COMMON = 65_536
 BUCKET_VECTORS = 50_000
 LEAST_BUCKETS, MOST_BUCKETS = 8, 4_096
+BROADCAST_ROWS = 300_000  # of a few longs each, some MB
 NAME = ["k1", "k2"]
 VECTOR = "k1 long, k2 long, n int, words array<long>"
 
@@ -134,8 +135,6 @@ def _probe_cells(threshold: float, words: np.ndarray, frequency: np.ndarray):
     return probe
 
 
-#: A batch as :meth:`CellIndex.prepare` leaves it.
-Prepared = tuple[DataFrame, DataFrame, DataFrame | None]
 TABLES = {"vectors": VECTOR, "members": "k1 long, k2 long, id long, seq int", "cells": "cell long, k1 long, k2 long",
           "keys": "kind string, value string, id long, seq int"}
 
@@ -145,6 +144,29 @@ def _buckets_for(vectors: int) -> int:
     return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, vectors // BUCKET_VECTORS).bit_length()))
 
 
+def _asking(rows: DataFrame, at_most: int) -> DataFrame:
+    """The side of a batch in a join with the history: broadcast if it is known to be small, else joined by shuffle."""
+    return F.broadcast(rows) if at_most <= BROADCAST_ROWS else rows
+
+
+class Prepared(NamedTuple):
+    """Records as probe and append read them; written once, partitioned by batch number."""
+
+    vectors: DataFrame  # id, k1, k2, n, words, seq
+    keys: DataFrame | None  # kind, value, id, seq
+    sizes: dict[int, int]  # batch number -> records with a vector
+    identifiers: dict[int, int]  # batch number -> identifiers
+
+    def batch(self, seq: int) -> Prepared:
+        one = F.col("seq") == seq
+        own = None if self.keys is None else self.keys.filter(one)
+        return Prepared(self.vectors.filter(one), own, {seq: self.sizes.get(seq, 0)}, {seq: self.identifiers.get(seq, 0)})
+
+    def distinct(self) -> DataFrame:
+        """The distinct vectors: the sums of a set's hashes name it, and the first of equal rows is any of them."""
+        return self.vectors.groupBy(*NAME).agg(F.first("n").alias("n"), F.first("words").alias("words"))
+
+
 class CellIndex:
     """An index in a shared folder. ``create`` it from a first history; ``probe`` each new batch, then ``append`` it."""
 
@@ -180,14 +202,18 @@ class CellIndex:
     def buckets(self) -> int:
         return next(iter(self.done().values()))
 
-    def _table(self, name: str, buckets: DataFrame | None = None) -> DataFrame:
-        """A table of the complete batches; only the listed buckets (one column, at most MOST_BUCKETS rows)."""
+    def _table(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table of the complete batches; only the listed buckets."""
         whole = self.spark.read.schema(f"{TABLES[name]}, batch string, bucket int").option("basePath", f"{self.path}/{name}")
         tags = sorted(self.done())
         table = whole.parquet(*(f"{self.path}/{name}/batch={t}" for t in tags)).filter(F.col("batch").isin(tags))
-        if buckets is not None:
-            table = table.filter(F.col("bucket").isin([r[0] for r in buckets.distinct().collect()]))
-        return table.drop("batch")
+        return (table if buckets is None else table.filter(F.col("bucket").isin(buckets))).drop("batch")
+
+    def _hit(self, placed: DataFrame, batch: Prepared) -> list[int] | None:
+        """The buckets a batch asks for, at most MOST_BUCKETS; None (all) where it has records enough to ask for each."""
+        if sum(batch.sizes.values()) > 4 * self.buckets:
+            return None
+        return [r[0] for r in placed.select("bucket").distinct().collect()]
 
     def _vectors(self, rows: DataFrame) -> DataFrame:
         return rows.filter("seq IS NOT NULL").select("id", "seq", "text").mapInPandas(_vectorise(self.min_words), f"id long, seq int, {VECTOR}")
@@ -205,88 +231,93 @@ class CellIndex:
     def _probes(self, vectors: DataFrame) -> DataFrame:
         return vectors.select(*NAME, "n", "words").mapInPandas(_probe_cells(self.threshold, *self.order()), "cell long, q1 long, q2 long")
 
-    def _write(self, rows: DataFrame, name: str, tag: str, buckets: int) -> None:
+    def _write(self, rows: DataFrame, name: str, tag: str, buckets: int, records: int) -> None:
         by = {"cells": F.col("cell"), "keys": F.xxhash64("kind", "value")}.get(name, F.col("k1"))
         placed = rows.withColumn("bucket", F.pmod(by, F.lit(buckets)).cast("int"))
-        spread = placed.repartition("bucket") if tag != "history" else placed.repartition("bucket", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(8)))
-        spread.sortWithinPartitions("bucket", rows.columns[0]).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/batch={tag}")
+        if records <= BUCKET_VECTORS:  # a small batch is one task's work
+            placed = placed.coalesce(1)
+        else:
+            parts = -(-records // BUCKET_VECTORS)
+            placed = placed.repartition(max(buckets, parts), "bucket", F.pmod(F.xxhash64(*rows.columns[:2]), F.lit(-(-parts // buckets))))
+        placed.sortWithinPartitions("bucket", rows.columns[0]).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/batch={tag}")
 
     def prepare(self, rows: DataFrame) -> Prepared:
-        """(records with their vectors, distinct vectors, identifiers) of a batch, written once for probe and append.
-
-        Needs nothing of the index: batches may be prepared while others are appended.
-        """
-        vectors = materialise(self._vectors(rows), "vectors")
-        # copies are one vector: the sums of a set's hashes name it, and the first of equal rows is any of them
-        one = materialise(vectors.groupBy(*NAME).agg(F.first("n").alias("n"), F.first("words").alias("words")), "distinct-vectors")
+        """Vectors and identifiers of one batch or of several, written once. Needs nothing of the index."""
+        vectors = materialise(self._vectors(rows).select("id", *NAME, "n", "words", "seq"), "vectors", "seq")
+        sizes = {r.seq: r["count"] for r in vectors.groupBy("seq").count().collect()}
         kinds = [c for c in rows.columns if c not in ("id", "seq", "text")]
         if not kinds:
-            return vectors, one, None
+            return Prepared(vectors, None, sizes, {})
         each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in kinds)))
-        keys = rows.filter("seq IS NOT NULL").select("id", "seq", each.alias("k")).filter("k.value IS NOT NULL")
-        return vectors, one, materialise(keys.select("k.kind", "k.value", "id", "seq"), "keys")
+        keys = rows.filter("seq IS NOT NULL").select("id", F.col("seq").cast("int").alias("seq"), each.alias("k")).filter("k.value IS NOT NULL")
+        keys = materialise(keys.select("k.kind", "k.value", "id", "seq"), "keys", "seq")
+        return Prepared(vectors, keys, sizes, {r.seq: r["count"] for r in keys.groupBy("seq").count().collect()})
 
-    def append(self, rows: DataFrame, tag: str) -> None:
+    def append(self, rows: DataFrame | Prepared, tag: str) -> None:
         """Add a batch: id, seq, text, and identifier columns already in comparable form (null where there is none)."""
-        if tag not in self.done():
-            self._append(*self.prepare(rows), tag)
-
-    def _append(self, vectors: DataFrame, one: DataFrame, keys: DataFrame | None, tag: str) -> None:
+        if tag in self.done():
+            return
+        batch = rows if isinstance(rows, Prepared) else self.prepare(rows)
+        one = batch.distinct()
         if self.done():
             buckets = self.buckets
-            known = self._table("vectors", one.select(F.pmod("k1", F.lit(buckets)).cast("int"))).select(*NAME)
-            new = materialise(one.join(known, NAME, "left_anti"), "new-vectors")
+            placed = one.select(*NAME, F.pmod("k1", F.lit(buckets)).cast("int").alias("bucket"))
+            known = self._table("vectors", self._hit(placed, batch)).select(*NAME)
+            # the names of the batch, which are few, meet the history; only what they find meets them again
+            found = known.join(_asking(placed.select(*NAME), sum(batch.sizes.values())), NAME, "left_semi")
+            one = one.join(found, NAME, "left_anti")
         else:
-            buckets, new = _buckets_for(one.count()), one
-            df = one.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+            buckets = _buckets_for(sum(batch.sizes.values()))
+        records = sum(batch.sizes.values())
+        self._write(one, "vectors", tag, buckets, records)
+        new = self.spark.read.schema(f"{VECTOR}, bucket int").parquet(f"{self.path}/vectors/batch={tag}")
+        if not self.done():
+            df = new.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
             df.orderBy(F.desc("df"), "word").limit(COMMON).write.mode("overwrite").parquet(f"{self.path}/order")
-        none = vectors.select(F.lit("").alias("kind"), F.lit("").alias("value"), "id", "seq").limit(0)
-        parts = {"vectors": new, "cells": self._cells(new), "members": vectors.select(*NAME, "id", "seq"), "keys": none if keys is None else keys}
-        with ThreadPoolExecutor(len(parts)) as pool:  # four small independent jobs
-            for written in [pool.submit(self._write, rows, name, tag, buckets) for name, rows in parts.items()]:
-                written.result()
+        self._write(self._cells(new), "cells", tag, buckets, records)
+        self._write(batch.vectors.select(*NAME, "id", "seq"), "members", tag, buckets, records)
+        if batch.keys is not None:
+            self._write(batch.keys.select("kind", "value", "id", "seq"), "keys", tag, buckets, sum(batch.identifiers.values()))
         fs, folder = self._files()
         fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{tag}.{buckets}"), True).close()  # the batch counts from here on
         self._done = {**self.done(), tag: buckets}
 
-    def near_vectors(self, one: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(bucket, q1, q2, k1, k2: for each distinct vector of a batch, all vectors of the index within the radius; buckets)."""
-        n = F.lit(self.buckets)
-        probes = materialise(self._probes(one).withColumn("bucket", F.pmod("cell", n).cast("int")), "probes")
-        cells = self._table("cells", probes.select("bucket"))
-        seen = materialise(probes.join(cells, ["bucket", "cell"]).select("q1", "q2", *NAME).distinct().withColumn("bucket", F.pmod("k1", n).cast("int")), "probed")
-        vectors = self._table("vectors", seen.select("bucket")).select("bucket", *NAME, "words")
+    def near_vectors(self, batch: Prepared) -> tuple[DataFrame, list[int] | None, int]:
+        """(bucket, q1, q2, k1, k2: for each distinct vector of a batch, all within the radius; their buckets; at most so many)."""
+        n, one = F.lit(self.buckets), batch.distinct()
+        probes, n_probes = materialise_counted(self._probes(one).withColumn("bucket", F.pmod("cell", n).cast("int")), "probes")
+        seen = self._table("cells", self._hit(probes, batch)).join(_asking(probes, n_probes), ["bucket", "cell"]).select("q1", "q2", *NAME).distinct()
+        seen, n_seen = materialise_counted(seen.withColumn("bucket", F.pmod("k1", n).cast("int")), "probed")
+        hit = self._hit(seen, batch)
+        vectors = self._table("vectors", hit).select("bucket", *NAME, "words")
+        vectors = vectors.join(_asking(seen.select("bucket", *NAME).distinct(), n_seen), ["bucket", *NAME], "left_semi")
         queries = one.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("words").alias("own"))
         ranked = seen.join(queries, ["q1", "q2"]).join(vectors, ["bucket", *NAME])
         shared = F.size(F.array_intersect("own", "words"))
         union = F.size("own") + F.size("words") - shared
-        return ranked.filter(shared + 1e-9 >= F.lit(self.threshold) * union).select("bucket", "q1", "q2", *NAME), seen.select("bucket")
+        return ranked.filter(shared + 1e-9 >= F.lit(self.threshold) * union).select("bucket", "q1", "q2", *NAME), hit, n_seen
 
-    def probe(self, rows: DataFrame) -> DataFrame:
+    def probe(self, rows: DataFrame | Prepared) -> DataFrame:
         """(known_id, new_id): the records of a batch (id, seq, text, identifiers) with what they repeat in the index."""
-        return self._probe(*self.prepare(rows))
-
-    def _probe(self, vectors: DataFrame, one: DataFrame, keys: DataFrame | None) -> DataFrame:
+        batch = rows if isinstance(rows, Prepared) else self.prepare(rows)
         if not self.done():
-            return vectors.select(F.col("id").alias("known_id"), F.col("id").alias("new_id")).limit(0)
+            return batch.vectors.select(F.col("id").alias("known_id"), F.col("id").alias("new_id")).limit(0)
         n = F.lit(self.buckets)
-        near, own = self.near_vectors(one)
-        members = self._table("members", own)
-        queries = vectors.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("id").alias("new_id"), F.col("seq").alias("new_seq"))
-        found = near.join(queries, ["q1", "q2"]).join(members, ["bucket", *NAME]).filter("seq < new_seq").select(F.col("id").alias("known_id"), "new_id")
-        if keys is not None:
-            asked = keys.select("kind", "value", F.col("id").alias("new_id"), F.col("seq").alias("new_seq"), F.pmod(F.xxhash64("kind", "value"), n).cast("int").alias("bucket"))
-            known = self._table("keys", asked.select("bucket"))
-            by_key = asked.join(known, ["bucket", "kind", "value"]).filter("seq < new_seq").select(F.col("id").alias("known_id"), "new_id")
-            found = found.unionAll(by_key)
+        near, hit, at_most = self.near_vectors(batch)
+        queries = batch.vectors.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("id").alias("new_id"), F.col("seq").alias("new_seq"))
+        found = self._table("members", hit).join(_asking(near, at_most), ["bucket", *NAME]).join(queries, ["q1", "q2"])
+        found = found.filter("seq < new_seq").select(F.col("id").alias("known_id"), "new_id")
+        if batch.keys is not None:
+            own = batch.keys.select("kind", "value", F.col("id").alias("new_id"), F.col("seq").alias("new_seq"), F.pmod(F.xxhash64("kind", "value"), n).cast("int").alias("bucket"))
+            by_key = self._table("keys", self._hit(own, batch)).join(_asking(own, sum(batch.identifiers.values())), ["bucket", "kind", "value"])
+            found = found.unionAll(by_key.filter("seq < new_seq").select(F.col("id").alias("known_id"), "new_id"))
         return found.distinct()
 
     def probe_and_append(self, rows: DataFrame | Prepared, tag: str) -> DataFrame:
         """``probe`` of a batch, written to the shared folder, and then ``append``; its texts are read once for both."""
-        batch = rows if isinstance(rows, tuple) else self.prepare(rows)
-        found = materialise(self._probe(*batch), "repeats")
-        if tag not in self.done():
-            self._append(*batch, tag)
+        batch = rows if isinstance(rows, Prepared) else self.prepare(rows)
+        found = materialise(self.probe(batch), "repeats")
+        self.append(batch, tag)
         return found
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from litquarry.llm import cells, components, entities, fusion, lookalikes, minhash, mixing, packing, tokens
 from litquarry.llm.sql import oracle_sql
 from litquarry.operators.timestamps import normalise_dates
-from litquarry.session import delete_on_exit, load, materialise, spread, table_path
+from litquarry.session import load, materialise, spread
 
 WS = r"[\x1c-\x1f\p{IsWhite_Space}]+"
 #: Publication types that only say that none is given.
@@ -116,14 +115,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
                          cells.doi_key(F.col("doi")).alias("doi"), cells.pmid_key(F.col("pmid")).alias("pmid"))
 
     incoming = rows("incoming", "incoming_id", F.col("batch_no"))
-    # the batches as they arrive: one number each, of which there are few
-    batches = sorted(r[0] for r in incoming.select("seq").filter("seq IS NOT NULL").distinct().collect())
-    index = cells.CellIndex(spark, table_path(spark, "cells"), threshold=0.8, min_words=6)
-    with ThreadPoolExecutor(2) as pool:  # batches are read while the history is filed; each is probed, then appended, in turn
-        ready = [(k, pool.submit(index.prepare, incoming.filter(F.col("seq") == k))) for k in batches]
-        index.append(rows("papers", "paper_id", F.lit(0)), "history")
-        found = [index.probe_and_append(batch.result(), f"batch-{k}") for k, batch in ready]
-    delete_on_exit(spark, index.path)
+    index = cells.CellIndex.create(rows("papers", "paper_id", F.lit(0)), threshold=0.8, min_words=6)
+    batches = index.prepare(incoming)
+    # the batches as they arrive: each is probed, then appended, in turn; of those without any vector the keys count
+    numbers = sorted(r[0] for r in incoming.select("seq").filter("seq IS NOT NULL").distinct().collect())
+    found = [index.probe_and_append(batches.batch(k), f"batch-{k}") for k in numbers]
     none = incoming.select(F.col("id").alias("known_id"), F.col("id").alias("new_id")).limit(0)
     return functools.reduce(DataFrame.unionAll, found or [none]).select("known_id", F.col("new_id").alias("incoming_id"))
 
@@ -147,6 +143,35 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
         "spec_name", "capacity_tokens", "n_containers", "n_tokens", (1 - F.col("n_tokens") / full).alias("unused_share"))
 
 
+def p8_placed(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers: every document placed, none overfull, pieces gapless, nothing split that fits."""
+    sizes = _token_sizes(spark, d).select("id", "tokens")
+    specs = load(spark, d, "pack_specs").withColumn("capacity_tokens", F.col("capacity_tokens").cast("long"))
+    packed = materialise(packing.pack_table(sizes, specs), "packed")
+    filled = packed.groupBy("spec_name", "container_id").agg(F.sum("n_tokens").alias("n")).join(specs, "spec_name")
+    overfull = filled.groupBy("spec_name").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("n_overfull"))
+    whole = packed.groupBy("spec_name", "id").agg(
+        F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.max("piece_no").alias("last"), F.max(F.col("first_token") + F.col("n_tokens")).alias("reach"))
+    whole = whole.join(sizes, "id").join(specs, "spec_name")
+    broken = (F.col("n") != F.col("tokens")) | (F.col("pieces") != F.col("last")) | (F.col("reach") != F.col("tokens"))
+    kept = whole.groupBy("spec_name").agg(
+        F.count("*").alias("n_documents"), F.count_if(broken).alias("n_broken"),
+        F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("n_split_small"))
+    return kept.join(overfull, "spec_name").select("spec_name", "n_documents", "n_overfull", "n_broken", "n_split_small")
+
+
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the mixes: shares within a thousandth of their targets (and a document), repeats within bounds."""
+    selection, report = mixing.mix(_token_sizes(spark, d), load(spark, d, "mix_targets"))
+    # a quota is met but for less than one document a shard: the largest document of the mix bounds that
+    largest = selection.groupBy("mix_name").agg(F.max("tokens").alias("largest"))
+    whole = report.groupBy("mix_name").agg(F.sum("tokens_used").alias("mix_tokens"))
+    slack = 0.001 + F.col("largest") / F.col("mix_tokens")
+    return report.join(largest, "mix_name", "left").join(whole, "mix_name").select(
+        "mix_name", "source", "target_share", (F.abs(F.col("share_reached") - F.col("target_share")) <= slack).alias("within_share"),
+        (F.col("most_uses") <= F.col("max_repeats")).alias("within_repeats"), (F.col("n_docs") > 0).alias("has_documents"))
+
+
 def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
     """The documents of each mix with their number of uses and the share their source reached."""
     selection, report = mixing.mix(_token_sizes(spark, d), load(spark, d, "mix_targets"))
@@ -181,7 +206,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_matches, p3_found, p4_found, p4_fused, p5_found, p5_classes, p6_found, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_classes, p10_forms)}
+    return {f.__name__: f for f in (p2_found, p2_matches, p3_found, p4_found, p4_fused, p5_found, p5_classes, p6_found, p8_packed, p8_fill, p8_placed, p9_mixed, p9_shares, p9_kept, p10_found, p10_classes, p10_forms)}
 
 
 __all__ = ["oracle_sql", "queries"]

