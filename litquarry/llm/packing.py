@@ -132,7 +132,9 @@ def pack_table(sizes: DataFrame, specs: DataFrame, *, shard_items: int = SHARD_I
 
     One row per piece: spec_name, id, piece_no, container_id, first_token, n_tokens.
     """
-    numbered = sizes.select("id", "tokens", F.xxhash64("id", F.monotonically_increasing_id()).alias("item"))
+    # by id alone, so that containers do not depend on files and partitions; rows of repeated ids are told apart by their place
+    unique = sizes.groupBy("id").count().filter("count > 1").isEmpty()
+    numbered = sizes.select("id", "tokens", (F.xxhash64("id") if unique else F.xxhash64("id", F.monotonically_increasing_id())).alias("item"))
     shards = max(1, math.ceil(sizes.count() / shard_items))
     rows = specs.filter("capacity_tokens > 0").select("spec_name", F.col("capacity_tokens").cast("long").alias("capacity")).distinct().limit(MAX_SPECS + 1).collect()
     if len(rows) > MAX_SPECS:

@@ -53,6 +53,15 @@ def test_many_shards(spark):
     assert out.id.nunique() == 3_000 and filled.max() <= 64 and filled.sum() / (64 * len(filled)) > 0.97
 
 
+def test_containers_do_not_depend_on_partitions(spark):
+    specs = spark.createDataFrame([("s", 64)], "spec_name string, capacity_tokens int")
+    rows = [(i, 1 + i * 7919 % 64) for i in range(1_000)]
+    packed = lambda n: sorted(map(tuple, pack_table(spark.createDataFrame(rows, "id long, tokens long").repartition(n), specs, shard_items=300).collect()))
+    assert packed(1) == packed(7)
+    again = pack_table(spark.createDataFrame(rows + rows[:10], "id long, tokens long"), specs, shard_items=300)
+    assert again.count() == 1_010
+
+
 def test_sainte_lague():
     assert sainte_lague([53, 24, 23], 7) == [3, 2, 2] and sum(sainte_lague([0.3, 0.7], 1_000)) == 1_000
     assert sainte_lague([1, 1], 10, [2, 5]) == [2, 5] and sainte_lague([0, 1], 3) == [0, 3] and sainte_lague([], 3) == []
