@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -57,6 +60,8 @@ def _remove(spark: SparkSession, folder: str) -> None:
 
 
 _WRITTEN: list[str] = []
+_LOCK = threading.Lock()
+_WRITERS: dict[int, tuple[int, str | None]] = {}  # session -> writers at work, the setting before them
 
 
 def table_path(spark: SparkSession, label: str) -> str:
@@ -84,18 +89,42 @@ def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     ``by`` names the last column, if readers will take one value of it at a time: it then partitions the table.
 
     Parquet rather than ``checkpoint()``: columnar and compressed, so smaller on disk and prunable when read back.
-    The files outlive any executor. Once a query has ended, its shuffle files serve nothing, so the session is told, once
-    and for all its queries alike, to remove them then.
+    The files outlive any executor. Once the table is written, the shuffle files behind it serve nothing, so Spark is
+    told to remove them with the write.
     """
     spark = df.sparkSession
-    if spark.conf.get(CLEANUP_KEY, None) is None or spark.conf.get(CLEANUP_KEY) != "true":
-        spark.conf.set(CLEANUP_KEY, "true")
     path = table_path(spark, label)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    with _shuffles_removed(spark):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The setting for the writes inside, whatever the number of threads: set by the first, put back by the last.
+
+    A result that a user collects twice keeps its shuffle files: it is planned outside.
+    """
+    with _LOCK:
+        count, before = _WRITERS.get(id(spark), (0, None))
+        if not count:
+            before = spark.conf.get(CLEANUP_KEY, None)
+            spark.conf.set(CLEANUP_KEY, "true")
+        _WRITERS[id(spark)] = count + 1, before
+    try:
+        yield
+    finally:
+        with _LOCK:
+            count, before = _WRITERS.pop(id(spark))
+            if count > 1:
+                _WRITERS[id(spark)] = count - 1, before
+            elif before is None:
+                spark.conf.unset(CLEANUP_KEY)
+            else:
+                spark.conf.set(CLEANUP_KEY, before)
+
+
 def materialise_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     """(the written table, its number of rows), counted while it is written."""
     seen = Observation()

@@ -1,12 +1,13 @@
 import csv
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from litquarry import cli, notify
+from litquarry import cli, notify, session
 from litquarry.config import GENERAL, GP, GUIDELINES, LEGACY, MOLECULAR, Profile, Settings, Topics
 from litquarry.operators import dedupe as dd
 from litquarry.operators import report
@@ -205,3 +206,15 @@ def test_a_hot_key_is_one_key(spark, monkeypatch):
     plain = sorted(r.ord for r in dd.late_records(df).collect())
     monkeypatch.setattr(dd, "HOT", 10)
     assert sorted(r.ord for r in dd.late_records(df).collect()) == plain == [*range(1, 60), *range(69, 90)]
+
+
+def test_tables_written_by_several_threads(spark):
+    """The setting they share is as before once all are done, and results can be collected again."""
+    before = spark.conf.get(session.CLEANUP_KEY, None)
+    df = spark.range(1_000).selectExpr("id % 7 AS k", "id").groupBy("k").count()
+    with ThreadPoolExecutor(4) as pool:
+        tables = list(pool.map(lambda k: session.materialise(df.filter(f"k <> {k}"), "threads"), range(6)))
+    assert [t.count() for t in tables] == [6] * 6 and spark.conf.get(session.CLEANUP_KEY, None) == before
+    assert sorted(df.collect()) == sorted(df.collect())
+    table, n = session.materialise_counted(df, "counted")
+    assert n == table.count() == 7 and session.materialise_counted(df.limit(0), "none")[1] == 0
