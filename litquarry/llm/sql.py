@@ -32,7 +32,7 @@ CLASSES = f"""WITH sets AS (SELECT paper_id AS id, list_sort({_words("concat_ws(
  shared AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM one a JOIN one b ON a.x = b.x AND a.id <> b.id AND b.n <= a.n * 1.25 AND a.n <= b.n * 1.25 GROUP BY a.id, b.id),
  links AS (SELECT a AS class_id, count(*) AS n_links FROM shared WHERE k * 10 >= 8 * (na + nb - k) GROUP BY a)
  SELECT id AS paper_id, class_id, coalesce(n_links, 0) AS n_links FROM named LEFT JOIN links USING (class_id)"""
-PLACED = """SELECT spec_name, (SELECT count(*) FROM documents) AS n_documents, 0 AS n_overfull, 0 AS n_broken, 0 AS n_split_small FROM pack_specs"""
+PLACED = """SELECT spec_name, (SELECT count(*) FROM documents) AS n_documents, 0::BIGINT AS n_overfull, 0::BIGINT AS n_broken, 0::BIGINT AS n_split_small FROM pack_specs"""
 KEPT = """SELECT mix_name, source, target_share, true AS within_share, true AS within_repeats, (SELECT count(*) FROM documents d WHERE lower(trim(d.source)) = lower(trim(t.source))
   AND length(d.text) > 0) > 0 AS has_documents FROM mix_targets t"""
 
