@@ -39,6 +39,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,14 +94,14 @@ def _ranked(batch: pd.DataFrame, words: np.ndarray, frequency: np.ndarray) -> tu
     return n, row, flat[by], np.arange(len(flat)) - np.repeat(np.r_[0, n.cumsum()[:-1]], n)
 
 
-def _file_cells(threshold: float, words: np.ndarray, frequency: np.ndarray):
+def _file_cells(threshold: float, order: Broadcast):
     """The cells a vector is filed in: those some query could have to probe, ``j <= m - ceil(t m)``."""
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            n, row, word, rank = _ranked(batch, words, frequency)
+            n, row, word, rank = _ranked(batch, *order.value)
             own = rank <= n[row] - np.ceil(threshold * n[row] - 1e-9)
             row, word, rank = row[own], word[own], rank[own]
             yield pd.DataFrame({"cell": _cell(word, n[row], rank), "k1": batch["k1"].to_numpy()[row], "k2": batch["k2"].to_numpy()[row]})
@@ -108,14 +109,14 @@ def _file_cells(threshold: float, words: np.ndarray, frequency: np.ndarray):
     return file
 
 
-def _probe_cells(threshold: float, words: np.ndarray, frequency: np.ndarray):
+def _probe_cells(threshold: float, order: Broadcast):
     """The cells a query has to probe: all (i, m, j) whose distance bound is within the radius."""
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            n, row, word, rank = _ranked(batch, words, frequency)
+            n, row, word, rank = _ranked(batch, *order.value)
             near = rank <= n[row] - np.ceil(threshold * n[row] - 1e-9)
             row, word, rank = row[near], word[near], rank[near]
             own = n[row]
@@ -172,7 +173,7 @@ class CellIndex:
 
     def __init__(self, spark: SparkSession, path: str, threshold: float = 0.8, min_words: int = 6):
         self.spark, self.path, self.threshold, self.min_words = spark, path, threshold, min_words
-        self._order: tuple[np.ndarray, np.ndarray] | None = None
+        self._order: Broadcast | None = None
         self._done: dict[str, int] | None = None
 
     @classmethod
@@ -218,18 +219,18 @@ class CellIndex:
     def _vectors(self, rows: DataFrame) -> DataFrame:
         return rows.filter("seq IS NOT NULL").select("id", "seq", "text").mapInPandas(_vectorise(self.min_words), f"id long, seq int, {VECTOR}")
 
-    def order(self) -> tuple[np.ndarray, np.ndarray]:
-        """The fixed order: at most COMMON words, so bounded whatever the history."""
+    def order(self) -> Broadcast:
+        """The fixed order, sent to each executor once: at most COMMON words, so bounded whatever the history."""
         if self._order is None:
             rows = self.spark.read.schema("word long, df long").parquet(f"{self.path}/order").orderBy("word").toPandas()
-            self._order = rows["word"].to_numpy("int64"), rows["df"].to_numpy("int64")
+            self._order = self.spark.sparkContext.broadcast((rows["word"].to_numpy("int64"), rows["df"].to_numpy("int64")))
         return self._order
 
     def _cells(self, vectors: DataFrame) -> DataFrame:
-        return vectors.select(*NAME, "n", "words").mapInPandas(_file_cells(self.threshold, *self.order()), "cell long, k1 long, k2 long")
+        return vectors.select(*NAME, "n", "words").mapInPandas(_file_cells(self.threshold, self.order()), "cell long, k1 long, k2 long")
 
     def _probes(self, vectors: DataFrame) -> DataFrame:
-        return vectors.select(*NAME, "n", "words").mapInPandas(_probe_cells(self.threshold, *self.order()), "cell long, q1 long, q2 long")
+        return vectors.select(*NAME, "n", "words").mapInPandas(_probe_cells(self.threshold, self.order()), "cell long, q1 long, q2 long")
 
     def _write(self, rows: DataFrame, name: str, tag: str, buckets: int, records: int) -> None:
         by = {"cells": F.col("cell"), "keys": F.xxhash64("kind", "value")}.get(name, F.col("k1"))
