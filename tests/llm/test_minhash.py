@@ -85,3 +85,25 @@ def test_class_representative_does_not_depend_on_the_order_of_rows(spark):
     got = [(r.a, r.b) for r in pairs.collect()]
     assert len(got) == len(set(got)) and {x for p in got for x in p} <= classes
     assert {(k, 1_000 + k) for k in range(12)} <= set(got)
+
+
+def test_the_exact_way_keeps_few_rows_and_pairs_on_disk(spark, monkeypatch):
+    """A table of common n-grams alone: its long lists are joined in several turns, and pairs too far apart never leave a join."""
+    monkeypatch.setattr(m, "LIST", 20)
+    monkeypatch.setattr(m, "LEAST_TURN", 10_000, raising=False)
+    turns = []
+
+    def counting(df, label, *by, write=m.materialise):
+        table = write(df, label, *by)
+        if label == "turn":
+            turns.append(table.count())
+        return table
+
+    monkeypatch.setattr(m, "materialise", counting)
+    r = random.Random(11)
+    rows = [(i, " ".join(r.sample([f"w{k}" for k in range(60)], 25))) for i in range(300)]
+    rows += [(1_000 + i, rows[i][1] + " own") for i in range(50)]
+    got = [(x.a, x.b) for x in m.prefix_pairs(m._gram_sets(texts(spark, rows), 1), 0.8).collect()]
+    true = brute(rows, 1, 0.8, 1)
+    assert len(got) == len(set(got)) and true <= set(got) and len(got) < 2 * len(true)
+    assert len(turns) > 1 and sum(turns) < 20 * len(true)
