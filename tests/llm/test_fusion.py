@@ -1,5 +1,6 @@
 import pytest
 
+from litquarry.llm import fusion, queries
 from litquarry.llm.fusion import estimate, fuse
 
 CLAIMS = "group_id long, field_name string, record_id long, src string, value_key long, size int, extra string"
@@ -51,3 +52,13 @@ def test_empty_and_unknown(spark):
     assert fuse(claims(spark, []), ["size", "record_id"]).count() == 0
     with pytest.raises(ValueError):
         fuse(claims(spark, []), ["size"], strength=-1.0)
+
+
+def test_no_votes_are_estimated_where_the_order_decides(spark, monkeypatch):
+    """The survivors by the stated order are those of the fusion with an outweighing prior, and no stage runs in vain."""
+    rows = [(g, "ab"[k % 2], g * 100 + k, "stu"[k * g % 3], k * 7 % 5, k * g % 4) for g in range(1, 40) for k in range(12)]
+    df = claims(spark, rows)
+    whole = {tuple(r) for r in fuse(df, ["size", "record_id"]).drop("posterior").collect()}
+    monkeypatch.setattr(fusion, "estimate", lambda _: pytest.fail("votes estimated"))
+    monkeypatch.setattr(queries, "_paper_claims", lambda spark, d: df.selectExpr("*", "0 AS trust", "0 AS fetched_at", "record_id AS smallest"))
+    assert {tuple(r) for r in queries.p4_found(spark, "").collect()} == whole
