@@ -100,3 +100,16 @@ def test_keys(spark):
     df = spark.createDataFrame([(" DOI 10.1/Ab. ", "PMID: 0012"), ("https://x.example/10.2/c;", "n/a"), ("10.0000/unknown", "0"), ("n/a", "１２"), (None, None)], "d string, p string")
     assert [tuple(r) for r in df.select(doi_key(F.col("d")), pmid_key(F.col("p"))).collect()] == [
         ("10.1/ab", "12"), ("10.2/c", None), (None, None), (None, "12"), (None, None)]
+
+
+def test_batches_leave_nothing_with_the_driver(spark):
+    """After each batch the driver's heap holds little that a collection of garbage would free."""
+    df = spark.createDataFrame(rows(), SCHEMA)
+    index = CellIndex.create(df.filter("seq = 0"))
+    runtime, system = spark._jvm.Runtime.getRuntime(), spark._jvm.System
+    used = lambda: runtime.totalMemory() - runtime.freeMemory()
+    for k in (1, 2, 3):
+        index.probe_and_append(df.filter(F.col("seq") == k), f"b{k}")
+        after = used()
+        system.gc()
+        assert after - used() < 32_000_000
